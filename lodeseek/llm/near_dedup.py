@@ -24,6 +24,7 @@ PARTNERS, BLOCK, BAG = 64, 256, 64
 _RNG = np.random.default_rng(2019)
 _MASKS = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 _FACTORS = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_END = np.iinfo(np.uint64).max
 _MIX = _RNG.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,15 +59,17 @@ def sketch(ids: np.ndarray) -> np.ndarray:
     """Order MinHash: per hash function one 64-bit entry over its ELL smallest labelled k-mers, in text order."""
     grams = kmers(ids)
     labelled = occurrence_labelled(grams)
-    best_v, best_p = np.full((SKETCHES, ELL), np.iinfo(np.uint64).max, np.uint64), np.full((SKETCHES, ELL), -1, np.int64)
+    best_v, best_p = np.full((SKETCHES, ELL), _END, np.uint64), np.full((SKETCHES, ELL), -1, np.int64)
     rows = np.arange(SKETCHES)[:, None]
     for at in range(0, len(labelled), 8192):
         values = (labelled[None, at : at + 8192] ^ _MASKS[:, None]) * _FACTORS[:, None]
-        take = min(ELL, values.shape[1])
-        near = np.argpartition(values, take - 1, axis=1)[:, :take]
-        both_v, both_p = np.concatenate([best_v, values[rows, near]], 1), np.concatenate([best_p, near + at], 1)
-        keep = np.argsort(both_v, axis=1, kind="stable")[:, :ELL]
-        best_v, best_p = both_v[rows, keep], both_p[rows, keep]
+        for _ in range(ELL):  # a scan for each minimum: a sketch needs two, which is less than a partial sort
+            near = values.argmin(1)[:, None]
+            found = values[rows, near]
+            best_v, best_p = np.concatenate([best_v, found], 1), np.concatenate([best_p, np.where(found == _END, -1, near + at)], 1)
+            values[rows, near] = _END
+        keep = np.argsort(best_v, axis=1, kind="stable")[:, :ELL]
+        best_v, best_p = best_v[rows, keep], best_p[rows, keep]
     places = np.sort(best_p, axis=1)
     out = np.arange(SKETCHES, dtype=np.uint64) * _MIX[12]
     for j in range(ELL):
@@ -190,6 +193,17 @@ def _near(least: float):
     return run
 
 
+def _joined(comps: DataFrame, verdicts: DataFrame, comp_of) -> DataFrame:
+    """(node, component) after further links, by the components of the links between components."""
+    links = cut(comp_of(comp_of(verdicts.where("ok").select("a", "b"), "a", "x"), "b", "y").select("a", "b", "x", "y"), "links")
+    if not links.limit(1).count():
+        return comps
+    over = connected_components(links, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    ends = links.select(F.col("a").alias("node"), F.col("x").alias("component")).union(links.select("b", "y"))
+    nodes = comps.unionByName(ends).distinct()
+    return cut(nodes.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id).
 
@@ -210,10 +224,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
     star = cut(entries.join(buckets, "key").where("rep <> pivot").select("key", "pivot", "rep", (F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)).alias("fits")), "star")
     pairs = star.where("fits").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_aligned(pairs, base, least).where("ok").select("a", "b"), "links")
-    comps = connected_components(links)
-
     comp_of = lambda df, c, to: df.join(comps.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+
+    # a first pivot each, so a group of m copies has m - 1 links; its other pivots matter only where that one failed
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    comps = connected_components(cut(_aligned(first, base, least).where("ok").select("a", "b"), "links"))
+    apart = comp_of(comp_of(pairs.join(first, ["a", "b"], "left_anti"), "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
+    comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least), comp_of)
     outside = comp_of(comp_of(star.select("key", "pivot", "rep"), "pivot", "pivot_comp"), "rep", "comp").where("comp <> pivot_comp")
     outside = cut(outside.select("key", F.col("rep").alias("doc")), "outside")
     if outside.limit(1).count():
@@ -225,10 +242,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
         rest = members.join(outside, ["key", "doc"], "left_semi").select("key", "doc", "comp", "n", "bag", F.lit(True).alias("rest"), F.pmod(F.xxhash64("doc"), F.col("rests")).alias("x"), F.explode(steps(F.col("alls"))).alias("y"))
         all_ = members.select("key", "doc", "comp", "n", "bag", F.lit(False).alias("rest"), F.explode(steps(F.col("rests"))).alias("x"), F.pmod(F.xxhash64("doc"), F.col("alls")).alias("y"))
-        near = rest.select(*all_.columns).union(all_).groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long").distinct()
+        # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
+        dealt = rest.select(*all_.columns).union(all_).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
+        near = dealt.groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long").distinct()
         near = cut(near.join(pairs, ["a", "b"], "left_anti"), "near")
-        more = cut(_aligned(near, base, least).where("ok").select("a", "b"), "links")
-        comps = connected_components(links.union(more))
+        comps = _joined(comps, _aligned(near, base, least), comp_of)
     of = classes.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     alone = slim.where("same IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     out = usable.select("doc_id", "same").join(of, "same").select("doc_id", "class_id").union(alone)

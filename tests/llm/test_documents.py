@@ -229,6 +229,10 @@ def test_near_duplicates_equal_brute_force_components(spark, odd, none):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             rows.append(" ".join(w))
     rows += [" ".join(shared + [rng.choice(vocab) for _ in range(60)]) for _ in range(30)]  # a passage that many share
+    for _ in range(12):  # chains whose ends are too far apart to link
+        a = [rng.choice(vocab) for _ in range(100)]
+        b = [rng.choice(vocab) for _ in range(15)] + a[15:]
+        rows += [" ".join(x) for x in (a, b, b[:85] + [rng.choice(vocab) for _ in range(15)])]
     ids = list(range(len(rows)))
     rng.shuffle(ids)
     docs = spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string")
