@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, utf8, words_of
+from .common import WordHashes, cut, forget, small, utf8, words_of
 from .components import connected_components
 
 K, SKETCHES, ELL, SIMILARITY = 5, 32, 2, 0.8
@@ -167,7 +167,9 @@ def _aligned(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     ends = dealt.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("is_pivot")).union(dealt.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("is_pivot")).distinct())
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
-    return ends.join(texts, "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
+    # few ends go to the texts, many meet them in a shuffle
+    ends = cut(ends, "ends")
+    return small(ends, ends.count()).join(texts, "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
 
 
 def _near(least: float):
