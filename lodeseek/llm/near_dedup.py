@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, small, utf8, words_of
+from .common import WordHashes, arrow_map, cut, forget, small, utf8, words_of
 from .components import connected_components
 
 K, SKETCHES, ELL, SIMILARITY = 5, 32, 2, 0.8
-#: Partners of a pivot in one task, members of a bucket on one side of a block, buckets of a bag of words.
-PARTNERS, BLOCK, BAG = 64, 256, 64
+#: Partners of a pivot in one task, members of a bucket on one side of a block, cells of a bag of words and of its coarse fold.
+PARTNERS, BLOCK, BAG, COARSE = 64, 256, 1024, 64
 _RNG = np.random.default_rng(2019)
 _MASKS = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 _FACTORS = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,29 +124,51 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n, bands, bag): same names equal word sequences (or equal texts without words)."""
+    """(doc_id, same, n, bands): same names equal word sequences (or equal texts without words)."""
 
     def run(batches):
         hashes = WordHashes()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                same, sizes, bands, bags = [], [], [], []
+                same, sizes, bands = [], [], []
                 for text in utf8(batch.column("text")):
                     words = words_of(text)
                     sizes.append(len(words))
                     if not words:
                         same.append("-" + xxhash.xxh3_128_hexdigest(text) if text else None)
                         bands.append(None)
-                        bags.append(None)
                         continue
                     same.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                     ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
                     bands.append(sketch(ids).view(np.int64))
-                    bags.append(np.minimum(np.bincount((ids % np.uint64(BAG)).astype(np.int64), minlength=BAG), 65535).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(bags, pa.binary())], names=["doc_id", "same", "n", "bands", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same string, n int, bands array<long>, bag binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same string, n int, bands array<long>")
+
+
+def _bags(texts: DataFrame) -> DataFrame:
+    """(doc, n, bag) of (doc, text): how many words there are, and how many fall into each cell, one byte a cell (255 stands for more)."""
+
+    def make():
+        hashes = WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, bags = [], []
+            for text in utf8(batch.column("text")):
+                words = words_of(text)
+                cells = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) % np.uint64(BAG)
+                sizes.append(len(words))
+                bags.append(np.minimum(np.bincount(cells.astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes())
+            return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int32()), pa.array(bags, pa.binary())], names=["doc", "n", "bag"])
+
+        return step
+
+    return arrow_map(texts.select("doc", "text"), make, "doc long, n int, bag binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
 
 
 def _aligned(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -166,31 +188,40 @@ def _aligned(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     ends = dealt.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("is_pivot")).union(dealt.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("is_pivot")).distinct())
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
     # few ends go to the texts, many meet them in a shuffle
     ends = cut(ends, "ends")
-    return small(ends, ends.count()).join(texts, "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
+    return small(ends, ends.count()).join(_texts(docs).withColumn("text", F.col("text").cast("binary")), "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
+
+
+def _excess(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The larger of what each bag has above own and own above it: an edit changes either by one at most, capped or folded too."""
+    diff = bags - own
+    return np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
 
 
 def _near(least: float):
-    """Pairs of a residual block that pass two exact bounds: the lengths' ratio, and the bags' distance, which is never above
-    the edit distance."""
+    """(a, b, bound) of the pairs of a residual block that pass exact bounds: the lengths' ratio, and the bags' distance, which is
+    never above the edit distance, over all the folded bags first and then over what these leave. bound is a share of the edits allowed."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         rest, all_ = block[block.rest], block[~block.rest]
-        out_a, out_b = [], []
+        out_a, out_b, out_r = [], [], []
         if len(rest) and len(all_):
-            bag = np.stack([np.frombuffer(x, np.uint16) for x in all_.bag]).astype(np.int32)
+            bag = np.stack([np.frombuffer(x, np.uint8) for x in all_.bag]).astype(np.int16)
+            fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
             n, doc, comp = all_.n.to_numpy(), all_.doc.to_numpy(np.int64), all_.comp.to_numpy(np.int64)
-            for d, c, size, own in zip(rest.doc, rest.comp, rest.n, rest.bag, strict=True):
-                longer = np.maximum(n, size)
-                most = ((1 - least) * longer + 1e-9).astype(np.int64)
-                diff = bag - np.frombuffer(own, np.uint16).astype(np.int32)
-                bound = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
-                for other in doc[(comp != c) & (np.abs(n - size) <= most) & (bound <= most)].tolist():
-                    out_a.append(min(d, other))
-                    out_b.append(max(d, other))
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            for d, c, size, packed in zip(rest.doc, rest.comp, rest.n, rest.bag, strict=True):
+                own = np.frombuffer(packed, np.uint8).astype(np.int16)
+                most = ((1 - least) * np.maximum(n, size) + 1e-9).astype(np.int64)
+                at = np.flatnonzero((comp != c) & (np.abs(n - size) <= most))
+                at = at[_excess(fold[at], own.reshape(-1, COARSE).sum(0, dtype=np.int32)) <= most[at]]
+                bound = _excess(bag[at], own)
+                for other, x, limit in zip(doc[at].tolist(), bound.tolist(), most[at].tolist(), strict=True):
+                    if x <= limit:
+                        out_a.append(min(d, other))
+                        out_b.append(max(d, other))
+                        out_r.append(x / max(limit, 1))
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64), "bound": np.array(out_r, np.float64)})
 
     return run
 
@@ -215,13 +246,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Candidates of a bucket are first aligned with its smallest document only, so a bucket of m copies costs m - 1
     alignments. Where that fails, the members left outside are compared with all members of other classes in the bucket,
-    in blocks, by bounds that are exact, and what passes is aligned too: no candidate pair of different classes goes
-    untested, and nothing is capped. An empty table gives an empty result; other columns are ignored.
+    in blocks, by bounds that are exact, and what passes is aligned too, each document's nearest pair first, then every pair
+    that still lies between classes: no candidate pair of different classes goes untested, and nothing is capped. An empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     slim = cut(_sketched(base), "sketches")
     usable = slim.where("same IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bag").alias("bag")), "classes")
+    classes = cut(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
     star = cut(entries.join(buckets, "key").where("rep <> pivot").select("key", "pivot", "rep", (F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)).alias("fits")), "star")
@@ -237,8 +268,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     outside = cut(outside.select("key", F.col("rep").alias("doc")), "outside")
     if outside.limit(1).count():
         there = outside.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("rests"))
-        members = comp_of(entries.select("key", F.col("rep").alias("doc")).join(there, "key"), "doc", "comp").join(classes.select(F.col("rep").alias("doc"), "n", "bag"), "doc")
-        members = cut(members, "members")
+        members = comp_of(entries.select("key", F.col("rep").alias("doc")).join(there, "key"), "doc", "comp")
+        # bags are made for the members of these buckets alone; rows that share a doc_id bring a bag each
+        who = cut(members.select("doc").distinct(), "who")
+        texts = _texts(base).join(small(who, who.count(), 400_000), "doc", "left_semi")
+        members = cut(members.join(_bags(texts), "doc"), "members")
         alls = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("alls"))
         members = members.join(alls, "key")
         steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -246,9 +280,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         all_ = members.select("key", "doc", "comp", "n", "bag", F.lit(False).alias("rest"), F.explode(steps(F.col("rests"))).alias("x"), F.pmod(F.xxhash64("doc"), F.col("alls")).alias("y"))
         # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
         dealt = rest.select(*all_.columns).union(all_).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
-        near = dealt.groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long").distinct()
+        near = dealt.groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long, bound double").groupBy("a", "b").agg(F.min("bound").alias("bound"))
         near = cut(near.join(pairs, ["a", "b"], "left_anti"), "near")
-        comps = _joined(comps, _aligned(near, base, least), comp_of)
+        # the nearest pair of each document first: what these links join needs no other link
+        both = near.select(F.col("a").alias("doc"), "bound", "a", "b").union(near.select("b", "bound", "a", "b"))
+        nearest = cut(both.groupBy("doc").agg(F.min(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "nearest")
+        comps = _joined(comps, _aligned(nearest, base, least), comp_of)
+        apart = comp_of(comp_of(near.join(nearest, ["a", "b"], "left_anti"), "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
+        comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least), comp_of)
     of = classes.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     alone = slim.where("same IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     out = usable.select("doc_id", "same").join(of, "same").select("doc_id", "class_id").union(alone)
