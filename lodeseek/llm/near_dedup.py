@@ -201,7 +201,10 @@ def _excess(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _near(least: float):
     """(a, b, bound) of the pairs of a residual block that pass exact bounds: the lengths' ratio, and the bags' distance, which is
-    never above the edit distance, over all the folded bags first and then over what these leave. bound is a share of the edits allowed."""
+    never above the edit distance, over all the folded bags first and then over what these leave. bound is a share of the edits allowed.
+
+    A pair of different classes meets in every bucket it shares, since the pivot can't be in both classes. It is tested only in the
+    first of these, and of two members left outside only by the smaller."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         rest, all_ = block[block.rest], block[~block.rest]
@@ -210,10 +213,16 @@ def _near(least: float):
             bag = np.stack([np.frombuffer(x, np.uint8) for x in all_.bag]).astype(np.int16)
             fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
             n, doc, comp = all_.n.to_numpy(), all_.doc.to_numpy(np.int64), all_.comp.to_numpy(np.int64)
-            for d, c, size, packed in zip(rest.doc, rest.comp, rest.n, rest.bag, strict=True):
+            bands, out, key = np.stack(all_.bands), all_.out.to_numpy(bool), block.key.iloc[0]
+            for d, c, size, packed, entries in zip(rest.doc, rest.comp, rest.n, rest.bag, rest.bands, strict=True):
+                place = np.flatnonzero(entries == key)
+                if not len(place):  # another row of this doc_id is in the bucket
+                    continue
                 own = np.frombuffer(packed, np.uint8).astype(np.int16)
                 most = ((1 - least) * np.maximum(n, size) + 1e-9).astype(np.int64)
-                at = np.flatnonzero((comp != c) & (np.abs(n - size) <= most))
+                at = np.flatnonzero((comp != c) & (np.abs(n - size) <= most) & (~out | (d < doc)))
+                shared = bands[at] == entries
+                at = at[shared[:, place[0]] & (shared.argmax(1) == place[0])]
                 at = at[_excess(fold[at], own.reshape(-1, COARSE).sum(0, dtype=np.int32)) <= most[at]]
                 bound = _excess(bag[at], own)
                 for other, x, limit in zip(doc[at].tolist(), bound.tolist(), most[at].tolist(), strict=True):
@@ -254,8 +263,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     usable = slim.where("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    star = cut(entries.join(buckets, "key").where("rep <> pivot").select("key", "pivot", "rep", (F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)).alias("fits")), "star")
+    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    star = cut(entries.join(buckets, "key").where("rep <> pivot").select("key", "m", "pivot", "rep", (F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)).alias("fits")), "star")
     pairs = star.where("fits").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     comp_of = lambda df, c, to: df.join(comps.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
 
@@ -264,22 +273,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = connected_components(cut(_aligned(first, base, least).where("ok").select("a", "b"), "links"))
     apart = comp_of(comp_of(pairs.join(first, ["a", "b"], "left_anti"), "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
     comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least), comp_of)
-    outside = comp_of(comp_of(star.select("key", "pivot", "rep"), "pivot", "pivot_comp"), "rep", "comp").where("comp <> pivot_comp")
-    outside = cut(outside.select("key", F.col("rep").alias("doc")), "outside")
+    outside = comp_of(comp_of(star.select("key", "m", "pivot", "rep"), "pivot", "pivot_comp"), "rep", "comp").where("comp <> pivot_comp")
+    outside = cut(outside.select("key", "m", F.col("rep").alias("doc")), "outside")
     if outside.limit(1).count():
-        there = outside.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("rests"))
+        blocks = lambda count: F.ceil(count / F.lit(BLOCK))
+        there = outside.groupBy("key").agg(blocks(F.count("*")).alias("rests"), blocks(F.max("m")).alias("alls"))
+        here = outside.select("key", "doc", F.lit(True).alias("out")).distinct()
         members = comp_of(entries.select("key", F.col("rep").alias("doc")).join(there, "key"), "doc", "comp")
+        members = cut(members.join(here, ["key", "doc"], "left").withColumn("out", F.coalesce("out", F.lit(False))), "members")
         # bags are made for the members of these buckets alone; rows that share a doc_id bring a bag each
         who = cut(members.select("doc").distinct(), "who")
         texts = _texts(base).join(small(who, who.count(), 400_000), "doc", "left_semi")
-        members = cut(members.join(_bags(texts), "doc"), "members")
-        alls = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("alls"))
-        members = members.join(alls, "key")
+        bands = classes.where("bands IS NOT NULL").select(F.col("rep").alias("doc"), "bands")
+        members = cut(members.join(_bags(texts), "doc").join(bands, "doc"), "bags")
         steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        rest = members.join(outside, ["key", "doc"], "left_semi").select("key", "doc", "comp", "n", "bag", F.lit(True).alias("rest"), F.pmod(F.xxhash64("doc"), F.col("rests")).alias("x"), F.explode(steps(F.col("alls"))).alias("y"))
-        all_ = members.select("key", "doc", "comp", "n", "bag", F.lit(False).alias("rest"), F.explode(steps(F.col("rests"))).alias("x"), F.pmod(F.xxhash64("doc"), F.col("alls")).alias("y"))
+        side = ["key", "doc", "comp", "n", "bag", "bands", "out"]
+        rest = members.where("out").select(*side, F.lit(True).alias("rest"), F.pmod(F.xxhash64("doc"), F.col("rests")).alias("x"), F.explode(steps(F.col("alls"))).alias("y"))
+        all_ = members.select(*side, F.lit(False).alias("rest"), F.explode(steps(F.col("rests"))).alias("x"), F.pmod(F.xxhash64("doc"), F.col("alls")).alias("y"))
         # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
-        dealt = rest.select(*all_.columns).union(all_).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
+        dealt = rest.union(all_).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
         near = dealt.groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long, bound double").groupBy("a", "b").agg(F.min("bound").alias("bound"))
         near = cut(near.join(pairs, ["a", "b"], "left_anti"), "near")
         # the nearest pair of each document first: what these links join needs no other link
