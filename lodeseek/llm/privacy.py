@@ -1,7 +1,7 @@
 """Personal data: pattern entities, and information-theoretic sanitisation of the terms that give them away.
 
-Entities (mail, network and card numbers, telephone) are protected. A term near an entity discloses it as far as their pointwise mutual
-information, estimated from all documents, reaches the entity's own information: PMI(t; e) / -log p(e). Terms over the
+Entities (mail, network and card numbers, telephone) are protected. A term in a document with an entity discloses it as far as their pointwise mutual
+information, estimated from whole documents, reaches the entity's own information: PMI(t; e) / -log p(e). Terms over the
 first threshold are generalised to their class, over the second removed. DataFrame functions only.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kinded, match_spans, spans_text
+from .common import cut, kinded, match_spans, small, spans_text
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Code points on each side of an entity in which terms are looked for, documents a term must share with it,
-#: and the disclosure from which a term is generalised and from which it is removed.
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 2, 0.7, 0.95
+#: Documents a term must share with an entity (all of its documents if there are fewer), and the disclosure from
+#: which a term is generalised and from which it is removed.
+SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.95
 
 # The contract's regexes in a form that takes linear time: runs are possessive, and a match starts where a run starts or the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -56,58 +56,81 @@ def entity_spans(text: Column) -> Column:
     return F.concat(named(email, 0, F.lower), named(ip, 1, lambda m: m), named(card, 2, _digits), named(phone, 3, _digits))
 
 
-def _contexts(spans: Column, text: Column) -> Column:
-    """Text on both sides of each entity, without the words that the edge cuts."""
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda m: F.lower(m)))
 
-    def sides(x: Column) -> Column:
-        start = F.greatest(x["s"] - REACH, F.lit(0))
-        before = text.substr(start + 1, x["s"] - start)
-        cut_off = F.when(start > 0, F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]*", 0))).otherwise(0)
-        after = text.substr(x["e"] + 1, F.lit(REACH))
-        after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"[\p{L}\p{N}]+\z", "")).otherwise(after)
-        after = F.regexp_replace(after, r"^[\p{L}\p{N}]+", " ")
-        entity = F.concat(x["k"].cast("string"), F.lit(":"), x["m"])
-        return F.array(F.struct(entity.alias("entity"), (start + cut_off).alias("at"), before.substr(cut_off + 1, F.lit(REACH)).alias("side")), F.struct(entity.alias("entity"), x["e"].alias("at"), after.alias("side")))
 
-    return F.flatten(F.transform(spans, sides))
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, generalise: float = GENERALISE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(term, disclosure) of the terms that give some entity away, with the greatest disclosure over the entities, and (term) of
+    the frequent terms that give none away: few terms, most of the words.
 
-
-def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """(key, ts, te, entity, term, disclosure) of the occurrences near an entity whose term gives it away.
-
-    found has (key, contexts). Counts are of distinct documents: of all documents for the term, of those that name it for the entity, of those
-    in which they stand within REACH for both. Terms or entities seen together in fewer than support documents show nothing.
+    found has (key, entities, words) of the documents with entities, docs has (key, text) of all. Counts are of distinct documents, whole ones:
+    of all for the term, of those that name it for the entity, of those that hold both. An entity and a term seen together in fewer than
+    support documents show nothing, unless the entity itself has no more documents: then all of its documents are asked for.
     """
-    near = found.select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.at", F.explode(match_spans(F.col("c.side"), TERM)).alias("t"))
-    near = cut(near.select("key", "entity", F.lower("t.m").alias("term"), (F.col("at") + F.col("t.s")).alias("ts"), (F.col("at") + F.col("t.e")).alias("te")), "near")
-    both = near.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    both = cut(both, "both")
-    of_entity = found.select("key", F.explode("contexts.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(n_docs))
-    info = F.ln(n / F.col("n_entity"))
-    # a document's own words are among n_term, so n_term >= n_both but where case folding splits a word
-    pmi = F.ln(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    pairs = both.join(of_term, "term").join(of_entity, "entity").where(info > 0).select("entity", "term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return near.join(pairs, ["entity", "term"])
+    n = float(n_docs)
+    of_entity = found.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_entity = cut(of_entity.where(F.col("n_entity") < n), "entity_counts")
+    of_term = cut(docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "term_counts")
+    # n_both <= n_entity, so a disclosure of at least generalise needs n_term <= n ** (1 - generalise) * n_entity ** generalise: exact, with room for rounding
+    most = lambda c: F.lit(n ** (1 - generalise) * (1 + 1e-9)) * F.pow(c.cast("double"), F.lit(generalise))
+    widest = of_entity.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
+    # few terms are in so many documents; without them no term gathers a large share of the rows
+    common = F.broadcast(of_term.where(F.col("n_term") > max(widest, n / 1000)).select("term"))
+    near = found.select("key", F.explode("words").alias("term")).join(common, "term", "left_anti").join(of_term.where(F.col("n_term") <= widest), "term")
+    named = found.select("key", F.explode("entities").alias("entity")).distinct().join(of_entity, "entity")
+    both = named.join(near, "key").where(F.col("n_term") <= most(F.col("n_entity"))).select("entity", "n_entity", "term", "n_term", "key").distinct()
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    info = F.ln(F.lit(n) / F.col("n_entity"))
+    # rows that repeat count once in n_both, so n_term >= n_both
+    pmi = F.ln(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
+    pairs = both.where(F.col("n_both") >= F.least(F.lit(support), "n_entity")).select("term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    terms = cut(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    return terms, of_term.where(F.col("n_term") > n / 1000).join(terms, "term", "left_anti").select("term")
+
+
+def _term_spans(text: Column, marks: Column) -> Column:
+    """array<struct<s, e, disclosure>> of every occurrence of the terms of marks (map of term to disclosure; a column, since an expression would be computed a word).
+
+    As match_spans, but only what is marked is appended, so a long text costs its length and not its square."""
+    hits = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
+    rows = F.arrays_zip(gaps.alias("g"), F.transform(hits, lambda x: F.length(x)).alias("n"), F.transform(hits, lambda x: F.try_element_at(marks, F.lower(x))).alias("d"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
+    found = F.aggregate(
+        rows,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
+            F.when(x["d"].isNull(), acc["out"])
+            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["n"]).alias("e"), x["d"].alias("disclosure")))))
+            .alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.size(marks) > 0, found).otherwise(none)
 
 
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, base, terms) for each row of docs: base are entity spans, terms spans with a disclosure.
 
+    Every occurrence of a disclosing term in any document is a span; those that overlap an entity are left out.
     Null texts are empty. A row's key is a hash of doc_id and text, so rows that repeat get the same spans and count as one document.
-    Terms that overlap an entity are left out. An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     body = body.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = body.select("doc_id", "key", "text", entity_spans(F.col("text")).alias("base"))
-    found = cut(spans.select("doc_id", "key", "base", _contexts(F.col("base"), F.col("text")).alias("contexts")), "entities")
+    entities = F.array_distinct(F.transform("base", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), x["m"])))
+    found = cut(spans.select("doc_id", "key", "base", entities.alias("entities"), F.when(F.size("base") > 0, _terms(F.col("text"))).alias("words")), "entities")
     n = found.count()
-    terms = disclosing_terms(found.where(F.size("contexts") > 0), body, n)
-    grouped = terms.groupBy("key").agg(F.collect_set(F.struct(F.col("ts").alias("s"), F.col("te").alias("e"), "disclosure")).alias("terms"))
+    terms, plain = disclosing_terms(found.where(F.size("base") > 0).select("key", "entities", "words"), body, n)
+    n_terms = terms.count()
+    seen = body.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(plain), "term", "left_anti")
+    grouped = seen.join(small(terms, n_terms, 200_000), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("marks"))
+    marked = body.select("key", "text").join(cut(grouped, "marks"), "key").select("key", _term_spans(F.col("text"), F.col("marks")).alias("terms")).dropDuplicates(["key"])
     none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
-    out = found.select("doc_id", "key", "base").join(grouped, "key", "left")
+    out = found.select("doc_id", "key", "base").join(marked, "key", "left")
     clear = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     return out.select("doc_id", "key", "base", clear.alias("terms"))
 

@@ -160,6 +160,17 @@ def test_disclosing_terms(spark):
     assert clean[0] == "mail  to [EMAIL] now" and clean[45] == texts[45] and len(clean) == len(texts)
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    pad = "filler " * 40
+    texts = [f"zebulon {pad}{'z@x.org' if i < 3 else f'u{i}@x.org'} {pad}" for i in range(4)] + [f"plain {pad}"] * 36 + [f"later Zebulon {pad}zebulon", "quokka k@y.org filler"]
+    texts[3] = texts[3].replace("zebulon", "filler")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in privacy.op8(docs).collect()}
+    # beyond any window, in a document without the entity, and for an entity of one document
+    assert spans[0].startswith("term:0:7,email:") and spans[40] == "term:6:13,term:294:301"
+    assert spans[41] == "term:0:6,email:7:14" and spans[20] == ""
+
+
 def test_language_held_out_and_odd_rows(spark, odd, none):
     rng = random.Random(4)
     said = {"en": ["the", "and", "with", "ing"], "fr": ["le", "çois", "eau", "dans"]}
