@@ -8,7 +8,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, forget
@@ -22,6 +22,8 @@ SCHEMAS = {
         "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "refs": {"type": "array", "items": {"type": "string"}}},
     }
 }
+#: Turns of a conversation that are ordered in one piece.
+SPAN = 256
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -135,24 +137,36 @@ def _validate(calls: DataFrame, schemas: dict) -> DataFrame:
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without references to calls of the conversation, else one more than the greatest level referred to.
 
-    Calls in or behind a cycle are left out. A round resolves a level, by joins on the identifiers, so a long conversation is
-    never gathered; there are as many rounds as the longest chain of references has links.
+    Calls in or behind a cycle are left out. An open call is the greatest of a base and of its references' levels plus a weight. In a round,
+    a reference to a call whose level is known goes into the base, and one to a call that has a single reference itself jumps over that call:
+    joins on the identifiers, so a long conversation is never gathered. A chain's or a tree's rounds grow with the logarithm of its length;
+    where calls have several references each that stay open, a round may resolve one level only.
     """
     known = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct()
-    edges = cut(edges.join(known.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]), "edges")
-    done = cut(known.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
+    edges = cut(edges.join(known.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select("conv_id", "call_id", "ref", F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("base")), "edges")
+    done = cut(known.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("level")), "levels")
+    # a path without a cycle weighs no more than there are calls with references
+    most = edges.select("conv_id", "call_id").distinct().count()
     while True:
-        open_ = edges.join(done, ["conv_id", "call_id"], "left_anti")
-        looked = open_.join(done.withColumnsRenamed({"call_id": "ref", "level": "below"}), ["conv_id", "ref"], "left")
-        new = looked.groupBy("conv_id", "call_id").agg((F.max("below") + 1).alias("level"), F.count_if(F.col("below").isNull()).alias("missing")).where("missing = 0").select("conv_id", "call_id", "level")
-        new = cut(new, "levels")
-        if not new.limit(1).count():
-            return done
-        grown = cut(done.union(new), "levels")
-        forget(done)
-        forget(new)
-        done = grown
+        single = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("m"), F.first("ref").alias("next"), F.first("w").alias("far"), F.first("base").alias("low")).where("m = 1")
+        none = F.lit(None)
+        ends = done.select("conv_id", F.col("call_id").alias("ref"), none.cast("string").alias("next"), none.cast("long").alias("far"), F.col("level").alias("low"))
+        ends = ends.union(single.select("conv_id", F.col("call_id").alias("ref"), "next", "far", "low"))
+        met = edges.join(ends, ["conv_id", "ref"], "left")
+        to = F.when(F.col("low").isNull(), F.col("ref")).otherwise(F.col("next"))
+        base = F.greatest("base", F.col("low") + F.col("w"))
+        moved = cut(met.select("conv_id", "call_id", to.alias("ref"), (F.col("w") + F.coalesce("far", F.lit(0))).alias("w"), base.alias("base"), F.col("low").isNotNull().alias("hit")), "moved")
+        if not moved.where("hit").limit(1).count():
+            forget(moved)
+            return done.select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
+        bases = moved.groupBy("conv_id", "call_id").agg(F.max("base").alias("base"), F.count("ref").alias("m"))
+        done = done.union(cut(bases.where("m = 0").select("conv_id", "call_id", F.col("base").alias("level")), "levels"))
+        left = moved.where("ref IS NOT NULL").groupBy("conv_id", "call_id", "ref").agg(F.max("w").alias("w")).where(F.col("w") <= most)
+        grown = cut(left.join(bases.where("m > 0").drop("m"), ["conv_id", "call_id"]).select("conv_id", "call_id", "ref", "w", "base"), "edges")
+        forget(edges)
+        forget(moved)
+        edges = grown
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -201,10 +215,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> D
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The test conversations are plain turns: a user turn becomes a call of the tool reply, an assistant turn the result of the turn before it.
-    Every second call of a conversation refers to the one before it."""
+    Every call of a conversation refers to the one before it."""
     ident = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("t"), t.cast("string"))
-    refs = F.when(F.pmod("turn", F.lit(4)) >= 2, F.array(ident(F.col("turn") - 2)))
-    calls = conversations.where("role = 'user'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", refs.alias("refs"))).alias("arguments"))
+    # the call before is looked for among SPAN turns, then in the last span before that has one
+    asked = conversations.where("role = 'user'").select("conv_id", "turn", "text", F.floor(F.col("turn") / F.lit(SPAN)).alias("span"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rangeBetween(Window.unboundedPreceding, -1)
+    spans = asked.groupBy("conv_id", "span").agg(F.max("turn").alias("last")).withColumn("last", F.max("last").over(earlier("conv_id", "span")))
+    asked = asked.withColumn("before", F.max("turn").over(earlier("conv_id", "span", "turn"))).join(spans, ["conv_id", "span"], "left").withColumn("before", F.coalesce("before", "last"))
+    refs = F.when(F.col("before").isNotNull(), F.array(ident(F.col("before"))))
+    calls = asked.select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", refs.alias("refs"))).alias("arguments"))
     results = conversations.where("role = 'assistant'").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 

@@ -91,6 +91,26 @@ def test_conversations_as_calls_and_written_calls(spark):
     assert json.loads(tool_calls.link(calls, results).first().json) == {"id": "k", "name": "reply", "arguments": {"turn": 1, "text": "x"}, "content": "ok"}
 
 
+def test_levels_of_long_chains_graphs_and_cycles(spark, monkeypatch):
+    rng = random.Random(3)
+    refs = {0: [], 1: [], 2: [1]}
+    for i in range(3, 40):
+        refs[i] = rng.sample(range(i), rng.choice([1, 1, 2]))
+    refs |= {40: [42], 41: [40], 42: [41], 43: [41, 5], 44: [44], 45: [43]}
+    level = {}
+    for i in range(40):
+        level[i] = max((level[j] + 1 for j in refs[i]), default=0)
+    rows = [(1, str(i), [str(j) for j in r]) for i, r in refs.items()]
+    cuts = []
+    monkeypatch.setattr(tool_calls, "cut", lambda df, name: cuts.append(name) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.topological_levels(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
+    assert got == {(1, str(i)): x for i, x in level.items()}
+    cuts.clear()
+    turns = spark.createDataFrame([(7, t, "user", "q") for t in range(0, 600, 3)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.level for r in tool_calls.op3(turns).collect()}
+    assert got == {3 * i: i for i in range(200)} and cuts.count("moved") <= 10
+
+
 @pytest.mark.parametrize("chunk", [7, warc.CHUNK])
 def test_warc_round_trip(spark, tmp_path, chunk):
     long = "é" * 80
