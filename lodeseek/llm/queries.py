@@ -12,7 +12,7 @@ from .common import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": lambda s, d: decontaminate.op1(table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_embedding_dedup": lambda s, d: embedding_dedup.op2(table(s, d, "embeddings")),
-    "op3_tool_calls": lambda s, d: tool_calls.op3(table(s, d, "conversations")),
+    "op3_tool_calls": lambda s, d: tool_calls.op3_whole(table(s, d, "conversations")),
     "op4_secrets": lambda s, d: secrets.op4(table(s, d, "documents")),
     "op5_mix": lambda s, d: mixing.op5(table(s, d, "documents")),
     "op6_language": lambda s, d: language.op6(table(s, d, "documents")),

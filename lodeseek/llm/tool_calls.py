@@ -230,3 +230,26 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op3(conversations: DataFrame) -> DataFrame:
     return link(*turns_as_calls(conversations))
+
+
+def plain_turns(conversations: DataFrame) -> DataFrame:
+    """A row of link's form, with status turn and no call, for each turn that is neither a user's nor an assistant's (a null role too); json holds role, turn and text."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out = [canonical({"role": r, "turn": t, "text": x}) for r, t, x in zip(*(batch.column(c).to_pylist() for c in ("role", "turn", "text")), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(out, pa.string())], names=["conv_id", "turn", "json"])
+
+    rest = conversations.where("role IS NULL OR role NOT IN ('user', 'assistant')").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = rest.mapInArrow(run, "conv_id long, turn long, json string")
+    return rows.select("conv_id", "turn", none("string").alias("call_id"), F.lit("turn").alias("status"), none("int").alias("level"), none("boolean").alias("valid"), none("array<string>").alias("errors"), "json")
+
+
+def op3_whole(conversations: DataFrame) -> DataFrame:
+    """The registered query: turns as calls and results, calls and results written in any turn's text, and the other turns as they are."""
+    calls, results = turns_as_calls(conversations)
+    written, answers = extract_events(conversations)
+    return link(calls.unionByName(written), results.unionByName(answers)).unionByName(plain_turns(conversations))

@@ -91,6 +91,17 @@ def test_conversations_as_calls_and_written_calls(spark):
     assert json.loads(tool_calls.link(calls, results).first().json) == {"id": "k", "name": "reply", "arguments": {"turn": 1, "text": "x"}, "content": "ok"}
 
 
+def test_registered_query_keeps_every_turn_and_written_calls(spark, tmp_path):
+    from lodeseek.llm.queries import QUERIES
+
+    text = 'so <tool_call>{"id":"k","name":"reply","arguments":{"turn":1,"text":"x"}}</tool_call>'
+    rows = [(1, 0, "system", "é"), (1, 1, "user", "q"), (1, 2, "assistant", text), (1, 3, "tool", '<tool_result>{"id":"k","content":"ok"}</tool_result>'), (1, 4, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op3_tool_calls"](spark, str(tmp_path)).collect()
+    assert sorted((r.turn, r.status) for r in got) == [(0, "turn"), (1, "linked"), (2, "linked"), (3, "turn"), (4, "turn")]
+    assert [r.json for r in got if r.turn == 0] == ['{"role":"system","text":"é","turn":0}']
+
+
 def test_levels_of_long_chains_graphs_and_cycles(spark, monkeypatch):
     rng = random.Random(3)
     refs = {0: [], 1: [], 2: [1]}
