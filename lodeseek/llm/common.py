@@ -76,6 +76,14 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, n_rows: int, most: int = 50_000) -> DataFrame:
     """Mark df for broadcast if its counted rows are few enough; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if n_rows <= most else df

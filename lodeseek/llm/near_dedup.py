@@ -4,6 +4,9 @@ A sketch samples, for each of several hash functions, the two smallest occurrenc
 and keeps them in text order, which makes collisions follow the edit similarity rather than the overlap of sets. Documents that
 share a sketch entry are candidates; a candidate pair links if the banded alignment of their words gives
 an edit similarity (1 - edits / longer length) of 0.8 or more.
+
+In a short text few five-word k-mers outlive a fifth of the words being changed: texts under 128 words are sketched over three
+words, under 20 over two. A length that can meet partners of the next shorter class has the entries of both.
 """
 
 from __future__ import annotations
@@ -12,15 +15,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_map, cut, forget, small, utf8, words_of
+from .common import WordHashes, arrow_map, cut, forget, free_name, small, utf8, words_of
 from .components import connected_components
 
-K, SKETCHES, ELL, SIMILARITY = 5, 32, 2, 0.8
-#: Partners of a pivot in one task, members of a bucket on one side of a block, cells of a bag of words and of its coarse fold.
-PARTNERS, BLOCK, BAG, COARSE = 64, 256, 1024, 64
+K, SKETCHES, ELL, SIMILARITY = 5, 72, 2, 0.8
+#: Words below which shorter k-mers are taken, and their length.
+SHORTER = ((20, 2), (128, 3))
+#: Partners of a pivot in one task; members of a bucket on one side of a block, and their words; cells of a bag of words and of its coarse fold.
+PARTNERS, BLOCK, BLOCK_WORDS, BAG, COARSE = 64, 256, 400_000, 1024, 64
+#: Buckets met HOT times among a HOT-th of the documents get their pivot by a broadcast of at most MOST_HOT rows, the rest by a sort.
+HOT, MOST_HOT = 64, 10_000
 _RNG = np.random.default_rng(2019)
 _MASKS = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 _FACTORS = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,28 +63,41 @@ def occurrence_labelled(grams: np.ndarray) -> np.ndarray:
     return _mixed(grams + seen * _MIX[13])
 
 
-def sketch(ids: np.ndarray) -> np.ndarray:
+def kmer_lengths(n: int, least: float = SIMILARITY) -> list[int]:
+    """The k that texts of n words are sketched with: that of every length a similar text, or the shorter of the two, may have."""
+    of = lambda m: next((k for most, k in SHORTER if m < most), K)
+    return sorted({of(n), of(int(np.ceil(least * n - 1e-9)))}, reverse=True)
+
+
+def sketch(ids: np.ndarray, k: int = K) -> np.ndarray:
     """Order MinHash: per hash function one 64-bit entry over its ELL smallest labelled k-mers, in text order."""
-    grams = kmers(ids)
+    grams = kmers(ids, k)
     labelled = occurrence_labelled(grams)
-    best_v, best_p = np.full((SKETCHES, ELL), _END, np.uint64), np.full((SKETCHES, ELL), -1, np.int64)
     rows = np.arange(SKETCHES)[:, None]
+    best_v = best_p = None
     for at in range(0, len(labelled), 8192):
         values = (labelled[None, at : at + 8192] ^ _MASKS[:, None]) * _FACTORS[:, None]
         for _ in range(ELL):  # a scan for each minimum: a sketch needs two, which is less than a partial sort
             near = values.argmin(1)[:, None]
             found = values[rows, near]
-            best_v, best_p = np.concatenate([best_v, found], 1), np.concatenate([best_p, np.where(found == _END, -1, near + at)], 1)
+            place = np.where(found == _END, -1, near + at)
+            best_v, best_p = (found, place) if best_v is None else (np.concatenate([best_v, found], 1), np.concatenate([best_p, place], 1))
             values[rows, near] = _END
-        keep = np.argsort(best_v, axis=1, kind="stable")[:, :ELL]
-        best_v, best_p = best_v[rows, keep], best_p[rows, keep]
+        if best_v.shape[1] > ELL:
+            keep = np.argsort(best_v, axis=1, kind="stable")[:, :ELL]
+            best_v, best_p = best_v[rows, keep], best_p[rows, keep]
     places = np.sort(best_p, axis=1)
-    out = np.arange(SKETCHES, dtype=np.uint64) * _MIX[12]
+    out = np.arange(SKETCHES, dtype=np.uint64) * _MIX[12] + np.uint64(k)
     for j in range(ELL):
         out += np.where(places[:, j] >= 0, grams[np.maximum(places[:, j], 0)], np.uint64(j)) * _MIX[8 + j]
     return _mixed(out)
 
 
+def entries_of(ids: np.ndarray) -> np.ndarray:
+    """All sketch entries of a text, as signed integers."""
+    return np.concatenate([sketch(ids, k) for k in kmer_lengths(len(ids))]).view(np.int64)
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences, or most + 1 if it is greater.
 
@@ -123,8 +144,15 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def _same(text: bytes | None, words: list[bytes]) -> str | None:
+    """Names equal word sequences, or equal texts without words; null and empty texts have no name."""
+    if words:
+        return xxhash.xxh3_128_hexdigest(b" ".join(words))
+    return "-" + xxhash.xxh3_128_hexdigest(text) if text else None
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n, bands): same names equal word sequences (or equal texts without words)."""
+    """(doc_id, same, n, bands): the name of the word sequence, its length and its sketch entries."""
 
     def run(batches):
         hashes = WordHashes()
@@ -135,36 +163,39 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 for text in utf8(batch.column("text")):
                     words = words_of(text)
                     sizes.append(len(words))
-                    if not words:
-                        same.append("-" + xxhash.xxh3_128_hexdigest(text) if text else None)
-                        bands.append(None)
-                        continue
-                    same.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-                    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    bands.append(sketch(ids).view(np.int64))
+                    same.append(_same(text, words))
+                    bands.append(entries_of(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))) if words else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same string, n int, bands array<long>")
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """(doc, n, bag) of (doc, text): how many words there are, and how many fall into each cell, one byte a cell (255 stands for more)."""
+def _named(rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows with the name of their word sequence in a new column, and that column's name."""
+    mark = free_name(rows, "same")
+
+    def run(batches):
+        for batch in batches:
+            same = pa.array([_same(t, words_of(t)) for t in utf8(batch.column("text"))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, same], names=[*batch.schema.names, mark])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(mark, T.StringType())])), mark
+
+
+def _worded(texts: DataFrame) -> DataFrame:
+    """(doc, words, bands) of (doc, text): 64-bit word hashes, and the sketch entries."""
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, bags = [], []
-            for text in utf8(batch.column("text")):
-                words = words_of(text)
-                cells = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) % np.uint64(BAG)
-                sizes.append(len(words))
-                bags.append(np.minimum(np.bincount(cells.astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes())
-            return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int32()), pa.array(bags, pa.binary())], names=["doc", "n", "bag"])
+            rows = [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in map(words_of, utf8(batch.column("text")))]
+            some = [i for i, ids in enumerate(rows) if len(ids)]
+            return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(some, pa.int64())), pa.array([rows[i].tobytes() for i in some], pa.binary()), pa.array([entries_of(rows[i]) for i in some], pa.list_(pa.int64()))], names=["doc", "words", "bands"])
 
         return step
 
-    return arrow_map(texts.select("doc", "text"), make, "doc long, n int, bag binary")
+    return arrow_map(texts.select("doc", "text"), make, "doc long, words binary, bands array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -199,45 +230,78 @@ def _excess(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
 
 
-def _near(least: float):
-    """(a, b, bound) of the pairs of a residual block that pass exact bounds: the lengths' ratio, and the bags' distance, which is
-    never above the edit distance, over all the folded bags first and then over what these leave. bound is a share of the edits allowed.
-
-    A pair of different classes meets in every bucket it shares, since the pivot can't be in both classes. It is tested only in the
-    first of these, and of two members left outside only by the smaller."""
-
+def block_links(block: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """A forest of links that joins the components of a residual block (key, rest, out, doc, comp, words, bands) as far as its pairs of a
+    rest row and another row do.
+
+    The pairs pass exact bounds first: the lengths' ratio, and the bags' distance, which is never above the edit distance, folded and then whole.
+    What is left is aligned nearest first, and only while both lie in different components. A pair of different components meets in every
+    bucket it shares, since the pivot can't be in both; it is tested in the one of the smallest key, and of two members outside
+    the pivot's component by the smaller."""
+    words = [np.frombuffer(x, np.uint64) for x in block.words]
+    doc, comp = block.doc.to_numpy(np.int64), block.comp.to_numpy(np.int64)
+    rest, out, key = block.rest.to_numpy(bool), block.out.to_numpy(bool), int(block.key.iloc[0])
+    n = np.array([len(w) for w in words])
+    bag = np.stack([np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG) for w in words]).astype(np.int32)
+    fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
+    partners = np.flatnonzero(~rest)
+    todo = []
+    for i in np.flatnonzero(rest).tolist():
+        at = partners[(comp[partners] != comp[i]) & (~out[partners] | (doc[partners] > doc[i]))]
+        most = ((1 - least) * np.maximum(n[at], n[i]) + 1e-9).astype(np.int64)
+        for keep in (lambda at, most, i=i: np.abs(n[at] - n[i]) <= most, lambda at, most, i=i: _excess(fold[at], fold[i]) <= most):
+            ok = keep(at, most)
+            at, most = at[ok], most[ok]
+        if len(at):
+            bound = _excess(bag[at], bag[i])
+            todo += [(x / max(limit, 1), i, j) for x, limit, j in zip(bound.tolist(), most.tolist(), at.tolist(), strict=True) if x <= limit]
+    over: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in over:
+            over[x] = x = over.get(over[x], over[x])
+        return x
+
+    lists, links = {}, []
+    listed = lambda i: lists[i] if i in lists else lists.setdefault(i, words[i].tolist())
+    for _, i, j in sorted(todo):
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a == b:
+            continue
+        shared = np.intersect1d(block.bands.iloc[i], block.bands.iloc[j])
+        if len(shared) and shared[0] == key and similar(listed(i), listed(j), least):
+            over[max(a, b)] = min(a, b)
+            links.append((int(doc[i]), int(doc[j])))
+    return links
+
+
+def _block(least: float):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        rest, all_ = block[block.rest], block[~block.rest]
-        out_a, out_b, out_r = [], [], []
-        if len(rest) and len(all_):
-            bag = np.stack([np.frombuffer(x, np.uint8) for x in all_.bag]).astype(np.int16)
-            fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
-            n, doc, comp = all_.n.to_numpy(), all_.doc.to_numpy(np.int64), all_.comp.to_numpy(np.int64)
-            bands, out, key = np.stack(all_.bands), all_.out.to_numpy(bool), block.key.iloc[0]
-            for d, c, size, packed, entries in zip(rest.doc, rest.comp, rest.n, rest.bag, rest.bands, strict=True):
-                place = np.flatnonzero(entries == key)
-                if not len(place):  # another row of this doc_id is in the bucket
-                    continue
-                own = np.frombuffer(packed, np.uint8).astype(np.int16)
-                most = ((1 - least) * np.maximum(n, size) + 1e-9).astype(np.int64)
-                at = np.flatnonzero((comp != c) & (np.abs(n - size) <= most) & (~out | (d < doc)))
-                shared = bands[at] == entries
-                at = at[shared[:, place[0]] & (shared.argmax(1) == place[0])]
-                at = at[_excess(fold[at], own.reshape(-1, COARSE).sum(0, dtype=np.int32)) <= most[at]]
-                bound = _excess(bag[at], own)
-                for other, x, limit in zip(doc[at].tolist(), bound.tolist(), most[at].tolist(), strict=True):
-                    if x <= limit:
-                        out_a.append(min(d, other))
-                        out_b.append(max(d, other))
-                        out_r.append(x / max(limit, 1))
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64), "bound": np.array(out_r, np.float64)})
+        links = np.array(block_links(block, least), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
     return run
 
 
-def _joined(comps: DataFrame, verdicts: DataFrame, comp_of) -> DataFrame:
-    """(node, component) after further links, by the components of the links between components."""
-    links = cut(comp_of(comp_of(verdicts.where("ok").select("a", "b"), "a", "x"), "b", "y").select("a", "b", "x", "y"), "links")
+def _stars(entries: DataFrame) -> DataFrame:
+    """(key, pivot, pivot_n, rep, n) of every member of a bucket but its pivot, the smallest.
+
+    One sort by key with a running first row gives the pivots. Keys that a sample of the documents shows to be very frequent are kept out of
+    it: their smallest members are aggregated before a shuffle and broadcast back, so that no bucket lies in one task. Which
+    way a bucket goes changes nothing in the result.
+    """
+    drawn = entries.where(F.pmod(F.xxhash64("rep"), F.lit(HOT)) == 0).groupBy("key").count().where(F.col("count") >= HOT)
+    hot = cut(drawn.orderBy(F.col("count").desc(), "key").limit(MOST_HOT).select("key"), "hot")
+    w = Window.partitionBy("key").orderBy("rep", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = entries.join(F.broadcast(hot), "key", "left_anti").select("key", F.first("rep").over(w).alias("pivot"), F.first("n").over(w).alias("pivot_n"), "rep", "n")
+    often = entries.join(F.broadcast(hot), "key", "left_semi")
+    least = often.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    return plain.unionByName(often.join(F.broadcast(least), "key")).where("rep <> pivot")
+
+
+def _joined(comps: DataFrame, found: DataFrame, comp_of) -> DataFrame:
+    """(node, component) after further links (a, b), by the components of the links between components."""
+    links = cut(comp_of(comp_of(found.select("a", "b"), "a", "x"), "b", "y").select("a", "b", "x", "y"), "links")
     if not links.limit(1).count():
         return comps
     over = connected_components(links, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -254,64 +318,74 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document. Other classes grow by links between candidates, which share one of SKETCHES entries.
 
     Candidates of a bucket are first aligned with its smallest document only, so a bucket of m copies costs m - 1
-    alignments. Where that fails, the members left outside are compared with all members of other classes in the bucket,
-    in blocks, by bounds that are exact, and what passes is aligned too, each document's nearest pair first, then every pair
-    that still lies between classes: no candidate pair of different classes goes untested, and nothing is capped. An empty table gives an empty result; other columns are ignored.
+    alignments. Where that fails, the members left outside meet all members of other classes in the bucket, in blocks whose
+    sizes are bounded; a block tests what exact bounds leave, the nearest pairs first, only while they lie in different classes, and gives
+    the links that join classes, never its pairs: no candidate pair of different classes goes untested, and nothing is
+    capped. An empty table gives an empty result; other columns are ignored.
     """
+    return _classified(docs, doc_id, text, least).drop("same")
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """near_duplicates with same, the name of the row's word sequence."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     slim = cut(_sketched(base), "sketches")
     usable = slim.where("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    entries = classes.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    star = cut(entries.join(buckets, "key").where("rep <> pivot").select("key", "m", "pivot", "rep", (F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)).alias("fits")), "star")
-    pairs = star.where("fits").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    star = cut(_stars(classes.where("bands IS NOT NULL").select("rep", "n", F.explode("bands").alias("key"))), "star")
+    fits = F.abs(F.col("n") - F.col("pivot_n")) <= F.floor(F.lit(1 - least) * F.greatest("n", "pivot_n") + 1e-9)
+    pairs = star.where(fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     comp_of = lambda df, c, to: df.join(comps.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
 
     # a first pivot each, so a group of m copies has m - 1 links; its other pivots matter only where that one failed
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     comps = connected_components(cut(_aligned(first, base, least).where("ok").select("a", "b"), "links"))
     apart = comp_of(comp_of(pairs.join(first, ["a", "b"], "left_anti"), "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
-    comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least), comp_of)
-    outside = comp_of(comp_of(star.select("key", "m", "pivot", "rep"), "pivot", "pivot_comp"), "rep", "comp").where("comp <> pivot_comp")
-    outside = cut(outside.select("key", "m", F.col("rep").alias("doc")), "outside")
-    if outside.limit(1).count():
-        blocks = lambda count: F.ceil(count / F.lit(BLOCK))
-        there = outside.groupBy("key").agg(blocks(F.count("*")).alias("rests"), blocks(F.max("m")).alias("alls"))
-        here = outside.select("key", "doc", F.lit(True).alias("out")).distinct()
-        members = comp_of(entries.select("key", F.col("rep").alias("doc")).join(there, "key"), "doc", "comp")
-        members = cut(members.join(here, ["key", "doc"], "left").withColumn("out", F.coalesce("out", F.lit(False))), "members")
-        # bags are made for the members of these buckets alone; rows that share a doc_id bring a bag each
+    comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least).where("ok"), comp_of)
+    # every pair with a pivot is tested now: a bucket with a member outside the pivot's class matters if it has yet another member
+    sided = comp_of(comp_of(star.select("key", "pivot", "rep", "n"), "pivot", "pivot_comp"), "rep", "comp").select("key", F.col("rep").alias("doc"), "n", "comp", (F.col("comp") != F.col("pivot_comp")).alias("out"))
+    sided = cut(sided, "sided")
+    sized = lambda on, c: F.ceil(F.greatest(F.sum(F.when(on, 1).otherwise(0)) / F.lit(BLOCK), F.sum(F.when(on, F.col("n")).otherwise(0)) / F.lit(BLOCK_WORDS))).alias(c)
+    there = sided.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), sized(F.col("out"), "rests"), sized(F.lit(True), "alls"))
+    members = cut(sided.join(there.where("rests > 0 AND m > 1 AND lo <> hi").select("key", "rests", "alls"), "key"), "members")
+    if members.limit(1).count():
+        # words are read for the members of these buckets alone; rows that share a doc_id bring theirs each
         who = cut(members.select("doc").distinct(), "who")
-        texts = _texts(base).join(small(who, who.count(), 400_000), "doc", "left_semi")
-        bands = classes.where("bands IS NOT NULL").select(F.col("rep").alias("doc"), "bands")
-        members = cut(members.join(_bags(texts), "doc").join(bands, "doc"), "bags")
+        words = _worded(_texts(base).join(small(who, who.count(), 400_000), "doc", "left_semi"))
+        full = members.drop("n").join(words, "doc").where(F.array_contains("bands", F.col("key")))
         steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        side = ["key", "doc", "comp", "n", "bag", "bands", "out"]
-        rest = members.where("out").select(*side, F.lit(True).alias("rest"), F.pmod(F.xxhash64("doc"), F.col("rests")).alias("x"), F.explode(steps(F.col("alls"))).alias("y"))
-        all_ = members.select(*side, F.lit(False).alias("rest"), F.explode(steps(F.col("rests"))).alias("x"), F.pmod(F.xxhash64("doc"), F.col("alls")).alias("y"))
+        side = ["key", "doc", "comp", "words", "bands", "out"]
+        place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+        at = lambda rest, x, y: F.struct(F.lit(rest).alias("rest"), x.alias("x"), y.alias("y"))
+        mine = F.transform(steps(F.col("rests")), lambda x: at(False, x, place("alls")))
+        mine = F.when(F.col("out"), F.concat(F.transform(steps(F.col("alls")), lambda y: at(True, place("rests"), y)), mine)).otherwise(mine)
         # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
-        dealt = rest.union(all_).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
-        near = dealt.groupBy("key", "x", "y").applyInPandas(_near(least), "a long, b long, bound double").groupBy("a", "b").agg(F.min("bound").alias("bound"))
-        near = cut(near.join(pairs, ["a", "b"], "left_anti"), "near")
-        # the nearest pair of each document first: what these links join needs no other link
-        both = near.select(F.col("a").alias("doc"), "bound", "a", "b").union(near.select("b", "bound", "a", "b"))
-        nearest = cut(both.groupBy("doc").agg(F.min(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "nearest")
-        comps = _joined(comps, _aligned(nearest, base, least), comp_of)
-        apart = comp_of(comp_of(near.join(nearest, ["a", "b"], "left_anti"), "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
-        comps = _joined(comps, _aligned(cut(apart.select("a", "b"), "apart"), base, least), comp_of)
+        dealt = full.select(*side, F.explode(mine).alias("at")).select(*side, "at.rest", "at.x", "at.y").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
+        comps = _joined(comps, dealt.groupBy("key", "x", "y").applyInPandas(_block(least), "a long, b long"), comp_of)
     of = classes.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    alone = slim.where("same IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = usable.select("doc_id", "same").join(of, "same").select("doc_id", "class_id").union(alone)
+    alone = slim.where("same IS NULL OR doc_id IS NULL").select("doc_id", "same", F.col("doc_id").alias("class_id"))
+    out = usable.select("doc_id", "same").join(of, "same").select("doc_id", "same", "class_id").union(alone)
     forget(star)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def drop_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs, with the same columns, with one document of each class; rows that share a doc_id count as one."""
-    found = near_duplicates(docs, least=least)
-    gone = found.where("NOT kept").select("doc_id")
-    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """docs, with the same columns, with one document of each class.
+
+    Rows with a null doc_id stay. Of rows that share a kept doc_id, those equal in their word sequence count once (the one whose columns have the
+    smallest hash stays), others stay beside each other. An empty table gives an empty result.
+    """
+    found = cut(_classified(docs, "doc_id", "text", least), "classified")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    again = cut(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    leave = cut(gone.union(again), "leave")
+    single = docs.join(small(leave, leave.count(), 400_000), "doc_id", "left_anti")
+    if not again.limit(1).count():
+        return single.select(*docs.columns)
+    rows, mark = _named(docs.join(small(again, again.count()), "doc_id", "left_semi").select(*docs.columns))
+    w = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*docs.columns), F.to_json(F.struct(*docs.columns)))
+    nth = free_name(rows, "nth")
+    return single.select(*docs.columns).unionByName(rows.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).select(*docs.columns))
 
 
 def op9(documents: DataFrame) -> DataFrame:
