@@ -25,8 +25,10 @@ from .components import connected_components
 K, SKETCHES, ELL, SIMILARITY = 5, 72, 2, 0.8
 #: Words below which shorter k-mers are taken, and their length.
 SHORTER = ((20, 2), (128, 3))
-#: Partners of a pivot in one task; members of a bucket on one side of a block, and their words; cells of a bag of words and of its coarse fold.
-PARTNERS, BLOCK, BLOCK_WORDS, BAG, COARSE = 64, 256, 400_000, 1024, 64
+#: Partners of a pivot in one task; members of a chunk of a bucket, and their words; cells of a bag of words and of its coarse fold.
+PARTNERS, BLOCK, BLOCK_WORDS, BAG, COARSE = 64, 1024, 400_000, 1024, 64
+#: Rows of identifiers that are broadcast to the texts; more meet them in a shuffle.
+NAMES = 400_000
 #: Buckets met HOT times among a HOT-th of the documents get their pivot by a broadcast of at most MOST_HOT rows, the rest by a sort.
 HOT, MOST_HOT = 64, 10_000
 _RNG = np.random.default_rng(2019)
@@ -183,7 +185,7 @@ def _named(rows: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _worded(texts: DataFrame) -> DataFrame:
-    """(doc, words, bands) of (doc, text): 64-bit word hashes, and the sketch entries."""
+    """(doc, words, bands) of (doc, text): 32-bit word hashes, and the sketch entries."""
 
     def make():
         hashes = WordHashes()
@@ -191,7 +193,7 @@ def _worded(texts: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in map(words_of, utf8(batch.column("text")))]
             some = [i for i, ids in enumerate(rows) if len(ids)]
-            return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(some, pa.int64())), pa.array([rows[i].tobytes() for i in some], pa.binary()), pa.array([entries_of(rows[i]) for i in some], pa.list_(pa.int64()))], names=["doc", "words", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(some, pa.int64())), pa.array([rows[i].astype(np.uint32).tobytes() for i in some], pa.binary()), pa.array([entries_of(rows[i]) for i in some], pa.list_(pa.int64()))], names=["doc", "words", "bands"])
 
         return step
 
@@ -216,12 +218,12 @@ def _aligned(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         ok = [any(similar(p, w, least) for p in pivot for w in texts) for texts in partners.values()]
         return pd.DataFrame({"a": np.full(len(ok), block.a.iloc[0] if len(block) else 0, np.int64), "b": np.array(list(partners), np.int64), "ok": np.array(ok, bool)})
 
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    chunks = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("chunks")).where("chunks > 1"), "chunks")
+    dealt = pairs.join(small(chunks, chunks.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
     ends = dealt.select("a", "chunk", F.col("b").alias("doc"), F.lit(False).alias("is_pivot")).union(dealt.select("a", "chunk", F.col("a").alias("doc"), F.lit(True).alias("is_pivot")).distinct())
     # few ends go to the texts, many meet them in a shuffle
     ends = cut(ends, "ends")
-    return small(ends, ends.count()).join(_texts(docs).withColumn("text", F.col("text").cast("binary")), "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
+    return small(ends, ends.count(), NAMES).join(_texts(docs).withColumn("text", F.col("text").cast("binary")), "doc").groupBy("a", "chunk").applyInPandas(run, "a long, b long, ok boolean")
 
 
 def _excess(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -231,27 +233,31 @@ def _excess(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def block_links(block: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """A forest of links that joins the components of a residual block (key, rest, out, doc, comp, words, bands) as far as its pairs of a
-    rest row and another row do.
-
-    The pairs pass exact bounds first: the lengths' ratio, and the bags' distance, which is never above the edit distance, folded and then whole.
-    What is left is aligned nearest first, and only while both lie in different components. A pair of different components meets in every
-    bucket it shares, since the pivot can't be in both; it is tested in the one of the smallest key, and of two members outside
-    the pivot's component by the smaller."""
-    words = [np.frombuffer(x, np.uint64) for x in block.words]
+    """A forest of links that joins the components of a residual block (key, side, x, y, out, doc, comp, words, keys) as far as its pairs do.
+
+    The block holds two chunks of a bucket, or one (x = y): pairs lie across them, or inside the one. At least one of a pair is out, not in the
+    pivot's component. Pairs pass exact bounds first: the lengths' ratio, and the bags' distance, which is never above the edit distance,
+    folded and then whole. What is left is aligned nearest first, and only while both lie in different components. A pair of
+    different components meets in every bucket it shares, since the pivot can't be in both; it is tested in the one of the smallest key."""
+    words = [np.frombuffer(x, np.uint32) for x in block.words]
     doc, comp = block.doc.to_numpy(np.int64), block.comp.to_numpy(np.int64)
-    rest, out, key = block.rest.to_numpy(bool), block.out.to_numpy(bool), int(block.key.iloc[0])
+    side, out, key = block.side.to_numpy(), block.out.to_numpy(bool), int(block.key.iloc[0])
+    alone = bool(block.x.iloc[0] == block.y.iloc[0])
     n = np.array([len(w) for w in words])
-    bag = np.stack([np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG) for w in words]).astype(np.int32)
+    bag = np.stack([np.bincount(w % np.uint32(BAG), minlength=BAG) for w in words]).astype(np.int32)
     fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
-    partners = np.flatnonzero(~rest)
+    order = np.argsort(n, kind="stable")
+    ranked = n[order]
     todo = []
-    for i in np.flatnonzero(rest).tolist():
-        at = partners[(comp[partners] != comp[i]) & (~out[partners] | (doc[partners] > doc[i]))]
+    for i in range(len(n)) if alone else np.flatnonzero(side == 0).tolist():
+        # lengths first: what is near in length is a run of the ranking
+        at = order[np.searchsorted(ranked, int(least * n[i] - 1e-9)) : np.searchsorted(ranked, n[i] / least + 1, "right")]
+        at = at[(comp[at] != comp[i]) & (out[at] | out[i]) & ((at > i) if alone else (side[at] == 1))]
         most = ((1 - least) * np.maximum(n[at], n[i]) + 1e-9).astype(np.int64)
-        for keep in (lambda at, most, i=i: np.abs(n[at] - n[i]) <= most, lambda at, most, i=i: _excess(fold[at], fold[i]) <= most):
-            ok = keep(at, most)
-            at, most = at[ok], most[ok]
+        ok = np.abs(n[at] - n[i]) <= most
+        at, most = at[ok], most[ok]
+        ok = _excess(fold[at], fold[i]) <= most
+        at, most = at[ok], most[ok]
         if len(at):
             bound = _excess(bag[at], bag[i])
             todo += [(x / max(limit, 1), i, j) for x, limit, j in zip(bound.tolist(), most.tolist(), at.tolist(), strict=True) if x <= limit]
@@ -268,7 +274,7 @@ def block_links(block: pd.DataFrame, least: float) -> list[tuple[int, int]]:
         a, b = root(int(comp[i])), root(int(comp[j]))
         if a == b:
             continue
-        shared = np.intersect1d(block.bands.iloc[i], block.bands.iloc[j])
+        shared = np.intersect1d(block["keys"].iloc[i], block["keys"].iloc[j])
         if len(shared) and shared[0] == key and similar(listed(i), listed(j), least):
             over[max(a, b)] = min(a, b)
             links.append((int(doc[i]), int(doc[j])))
@@ -345,23 +351,24 @@ def _classified(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFr
     # every pair with a pivot is tested now: a bucket with a member outside the pivot's class matters if it has yet another member
     sided = comp_of(comp_of(star.select("key", "pivot", "rep", "n"), "pivot", "pivot_comp"), "rep", "comp").select("key", F.col("rep").alias("doc"), "n", "comp", (F.col("comp") != F.col("pivot_comp")).alias("out"))
     sided = cut(sided, "sided")
-    sized = lambda on, c: F.ceil(F.greatest(F.sum(F.when(on, 1).otherwise(0)) / F.lit(BLOCK), F.sum(F.when(on, F.col("n")).otherwise(0)) / F.lit(BLOCK_WORDS))).alias(c)
-    there = sided.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), sized(F.col("out"), "rests"), sized(F.lit(True), "alls"))
-    members = cut(sided.join(there.where("rests > 0 AND m > 1 AND lo <> hi").select("key", "rests", "alls"), "key"), "members")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_WORDS))).alias("chunks")
+    there = sided.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("out").alias("some"), chunks)
+    members = cut(sided.join(there.where("some AND m > 1 AND lo <> hi").select("key", "chunks"), "key").drop("n"), "members")
     if members.limit(1).count():
         # words are read for the members of these buckets alone; rows that share a doc_id bring theirs each
-        who = cut(members.select("doc").distinct(), "who")
-        words = _worded(_texts(base).join(small(who, who.count(), 400_000), "doc", "left_semi"))
-        full = members.drop("n").join(words, "doc").where(F.array_contains("bands", F.col("key")))
-        steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        side = ["key", "doc", "comp", "words", "bands", "out"]
-        place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-        at = lambda rest, x, y: F.struct(F.lit(rest).alias("rest"), x.alias("x"), y.alias("y"))
-        mine = F.transform(steps(F.col("rests")), lambda x: at(False, x, place("alls")))
-        mine = F.when(F.col("out"), F.concat(F.transform(steps(F.col("alls")), lambda y: at(True, place("rests"), y)), mine)).otherwise(mine)
+        of_doc = cut(members.groupBy("doc").agg(F.collect_set("key").alias("keys")), "keys")
+        words = _worded(_texts(base).join(small(of_doc.select("doc"), of_doc.count(), NAMES), "doc", "left_semi"))
+        words = words.join(of_doc, "doc").select("doc", "words", F.array_sort(F.array_intersect("keys", "bands")).alias("keys"))
+        own = F.pmod(F.xxhash64("doc"), F.col("chunks"))
+        steps = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+        at = F.transform(steps, lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own > o).cast("int").alias("side")))
+        places = members.select("key", "doc", "comp", "out", F.explode(at).alias("at")).select("key", "doc", "comp", "out", "at.x", "at.y", "at.side")
+        full = places.join(words, "doc").where(F.array_contains("keys", F.col("key")))
         # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
-        dealt = full.select(*side, F.explode(mine).alias("at")).select(*side, "at.rest", "at.x", "at.y").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
-        comps = _joined(comps, dealt.groupBy("key", "x", "y").applyInPandas(_block(least), "a long, b long"), comp_of)
+        dealt = full.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
+        found = cut(dealt.groupBy("key", "x", "y").applyInPandas(_block(least), "a long, b long").distinct(), "found")
+        # 32 bits of a word decided so far; whole words decide in the end
+        comps = _joined(comps, _aligned(found, base, least).where("ok"), comp_of)
     of = classes.select("same", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     alone = slim.where("same IS NULL OR doc_id IS NULL").select("doc_id", "same", F.col("doc_id").alias("class_id"))
     out = usable.select("doc_id", "same").join(of, "same").select("doc_id", "same", "class_id").union(alone)
