@@ -237,18 +237,22 @@ def block_links(block: pd.DataFrame, least: float) -> list[tuple[int, int]]:
 
     The block holds two chunks of a bucket, or one (x = y): pairs lie across them, or inside the one. At least one of a pair is out, not in the
     pivot's component. Pairs pass exact bounds first: the lengths' ratio, and the bags' distance, which is never above the edit distance,
-    folded and then whole. What is left is aligned nearest first, and only while both lie in different components. A pair of
+    folded and then whole. What is left of a member is aligned nearest first, and only while both lie in different components. A pair of
     different components meets in every bucket it shares, since the pivot can't be in both; it is tested in the one of the smallest key."""
     words = [np.frombuffer(x, np.uint32) for x in block.words]
-    doc, comp = block.doc.to_numpy(np.int64), block.comp.to_numpy(np.int64)
+    doc, comp = block.doc.to_numpy(np.int64), block.comp.to_numpy(np.int64, copy=True)
     side, out, key = block.side.to_numpy(), block.out.to_numpy(bool), int(block.key.iloc[0])
     alone = bool(block.x.iloc[0] == block.y.iloc[0])
     n = np.array([len(w) for w in words])
-    bag = np.stack([np.bincount(w % np.uint32(BAG), minlength=BAG) for w in words]).astype(np.int32)
-    fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int32)
+    kind = np.int16 if n.max() < 2**15 else np.int32
+    bag = np.empty((len(n), BAG), kind)
+    for i, w in enumerate(words):
+        bag[i] = np.bincount(w % np.uint32(BAG), minlength=BAG)
+    fold = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=kind)
     order = np.argsort(n, kind="stable")
     ranked = n[order]
-    todo = []
+    keys, lists, links = block["keys"].tolist(), {}, []
+    listed = lambda i: lists[i] if i in lists else lists.setdefault(i, words[i].tolist())
     for i in range(len(n)) if alone else np.flatnonzero(side == 0).tolist():
         # lengths first: what is near in length is a run of the ranking
         at = order[np.searchsorted(ranked, int(least * n[i] - 1e-9)) : np.searchsorted(ranked, n[i] / least + 1, "right")]
@@ -258,26 +262,17 @@ def block_links(block: pd.DataFrame, least: float) -> list[tuple[int, int]]:
         at, most = at[ok], most[ok]
         ok = _excess(fold[at], fold[i]) <= most
         at, most = at[ok], most[ok]
-        if len(at):
-            bound = _excess(bag[at], bag[i])
-            todo += [(x / max(limit, 1), i, j) for x, limit, j in zip(bound.tolist(), most.tolist(), at.tolist(), strict=True) if x <= limit]
-    over: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while x in over:
-            over[x] = x = over.get(over[x], over[x])
-        return x
-
-    lists, links = {}, []
-    listed = lambda i: lists[i] if i in lists else lists.setdefault(i, words[i].tolist())
-    for _, i, j in sorted(todo):
-        a, b = root(int(comp[i])), root(int(comp[j]))
-        if a == b:
-            continue
-        shared = np.intersect1d(block["keys"].iloc[i], block["keys"].iloc[j])
-        if len(shared) and shared[0] == key and similar(listed(i), listed(j), least):
-            over[max(a, b)] = min(a, b)
-            links.append((int(doc[i]), int(doc[j])))
+        bound = _excess(bag[at], bag[i])
+        ok = bound <= most
+        at = at[ok][np.argsort((bound[ok] / np.maximum(most[ok], 1)), kind="stable")]
+        for j in at.tolist():
+            if comp[i] == comp[j]:
+                continue
+            shared = np.intersect1d(keys[i], keys[j])
+            if len(shared) and shared[0] == key and similar(listed(i), listed(j), least):
+                low, high = sorted((comp[i], comp[j]))
+                comp[comp == high] = low
+                links.append((int(doc[i]), int(doc[j])))
     return links
 
 
