@@ -22,33 +22,63 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("per_cell", "block"), [(64, 256), (4, 5)])
-def test_vector_links_equal_brute_force(spark, per_cell, block):
-    rng = np.random.default_rng(1)
-    rows = []
-    for i in range(240):
-        x = rng.standard_normal(16) if i % 4 == 0 else rows[-1][1] + rng.standard_normal(16) * rng.choice([0, 0.03, 0.15])
-        rows.append((i, x.astype(np.float32).astype(float), int(rng.integers(2)) if i % 4 == 0 else rows[-1][2]))
-    rows = [(i, x.tolist(), y, "clash") for i, x, y in rows]
-    odd = [(900, None, 1, "c"), (901, [0.0] * 16, 1, "c"), (902, [float("nan")] * 16, 1, "c"), (903, [None] * 16, 1, "c"), (904, rows[0][1], None, "c"), (905, [1.0], 1, "c"), (906, [], 1, "c"), (None, rows[0][1], rows[0][2], "c")]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, component string")
-    got = {r.vec_id: r for r in embedding_dedup.link_vectors(df, per_cell=per_cell, block=block).collect()}
+def vector_truth(rows):
+    """Links and components by brute force of (vec_id, vector, label)."""
     x = np.array([r[1] for r in rows], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows])
     linked = (x @ x.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(linked, False)
     comp = np.arange(len(rows))
-    for _ in range(len(rows)):
-        comp = np.minimum(comp, np.where(linked, comp[None], 10**9).min(1))
-    found = np.array([got[i].n_links for i in range(len(rows))])
-    assert (found == linked.sum(1)).mean() >= 0.97 and (found <= linked.sum(1)).all()
-    if per_cell == 64:
-        assert (found == linked.sum(1)).all() and [got[i].component_id for i in range(len(rows))] == comp.tolist()
+    while True:
+        new = np.minimum(comp, np.where(linked, comp[None], 10**9).min(1))
+        if (new == comp).all():
+            return linked.sum(1), comp
+        comp = new
+
+
+def near_vectors(rng, n, dims=16, rank=16, noise=(0, 0.03, 0.15)):
+    base, rows = rng.standard_normal((rank, dims)), []
+    for i in range(n):
+        x = rng.standard_normal(rank) @ base if i % 4 == 0 else rows[-1][1] + rng.standard_normal(rank) @ base * rng.choice(noise)
+        rows.append((i, x.astype(np.float32).astype(float), int(rng.integers(2)) if i % 4 == 0 else rows[-1][2]))
+    return [(i, x.tolist(), y) for i, x, y in rows]
+
+
+@pytest.mark.parametrize(("per_cell", "block", "exact"), [(64, 256, False), (4, 5, False), (1, 7, True)])
+def test_vector_links_equal_brute_force(spark, per_cell, block, exact):
+    rows = [(*r, "clash") for r in near_vectors(np.random.default_rng(1), 240)]
+    odd = [(900, None, 1, "c"), (901, [0.0] * 16, 1, "c"), (902, [float("nan")] * 16, 1, "c"), (903, [None] * 16, 1, "c"), (904, rows[0][1], None, "c"), (905, [1.0], 1, "c"), (906, [], 1, "c"), (None, rows[0][1], rows[0][2], "c")]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, component string")
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(df, per_cell=per_cell, block=block, exact=exact).collect()}
+    n, comp = vector_truth(rows)
+    assert [got[i].n_links for i in range(len(rows))] == n.tolist() and [got[i].component_id for i in range(len(rows))] == comp.tolist()
     assert len(got) == len(rows) + len(odd) and all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 905, 906, None))
     assert embedding_dedup.op2(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rank", "exact"), [(3, False), (6, False), (3, True), (24, True)])
+def test_vector_recall_with_many_cells(spark, rank, exact):
+    rows = near_vectors(np.random.default_rng(rank), 1600, dims=24, rank=rank, noise=(0.03, 0.08, 0.1, 0.12))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(df, per_cell=1, exact=exact).collect()}
+    n, comp = vector_truth(rows)
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= n).all() and found.sum() >= (n.sum() if exact else 0.999 * n.sum()) and n.sum() > 1000
+    if exact:
+        assert [got[i].component_id for i in range(len(rows))] == comp.tolist()
+
+
+def test_vectors_that_repeat_and_many_lengths(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]
+    rows = [(1, v, 0), (1, v, 0), (2, v, 0), (5, v, 0), (5, w, 0), (7, w, 0), (8, w, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.op2(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (5, 1, 1, False), (5, 2, 1, False), (7, 1, 1, False), (8, 0, 8, True)]
+    rows = [(2 * d + k, [1.0] * d + [2.0 + 1e-3 * k], 0) for d in range(1, 1102) for k in (0, 1)]
+    out = embedding_dedup.op2(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert out.where("n_links = 1").count() == len(rows) and out.where("kept").count() == 1101
+
+
 def test_multi_sequence_visits_in_order():
     x = np.random.default_rng(0).standard_normal((500, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
