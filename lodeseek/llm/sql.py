@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .embedding_dedup import THRESHOLD
-from .mixing import MOST_EPOCHS, SEED, SHARE, WEIGHTS
+from .mixing import MOST_EPOCHS, SEED, SHARE, UNIT, WEIGHTS
 from .secrets import BASE, RULES
 
 _FOLD = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,7 +74,7 @@ WITH base AS (
     CAST(('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM {documents}),
 docs AS (
-  SELECT *, CAST(floor((1.0 - exp(ln(greatest(u, pow(2.0, -53))) / CASE WHEN coalesce(ink, 0) = 0 THEN 0.1 ELSE greatest(0.1, 1.0 - CAST(odd AS DOUBLE) / ink) END)) * 281474976710655.0) AS BIGINT) AS key FROM base),
+  SELECT *, CAST(floor(-ln(greatest(u, pow(2.0, -53))) / CASE WHEN coalesce(ink, 0) = 0 THEN 0.1 ELSE greatest(0.1, 1.0 - CAST(odd AS DOUBLE) / ink) END * {float(UNIT)}) AS BIGINT) AS key FROM base),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, CAST([{", ".join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INT)] AS DOUBLE) AS w, CAST(source_size * {MOST_EPOCHS} AS DOUBLE) AS cap FROM sizes),
 levels AS (
