@@ -259,3 +259,20 @@ def test_near_duplicates_equal_brute_force_components(spark, odd, none):
     out = near_dedup.op9(odd).collect()
     assert len(out) == len(ODD) and {(r.doc_id, r.class_id) for r in out if r.doc_id in (1, 2, 3, 5)} == {(1, 1), (2, 2), (3, 3), (5, 5)}
     assert near_dedup.op9(none).count() == 0 and near_dedup.drop_duplicates(odd).count() == len(ODD) - 2  # the repeated row and doc 6, a near copy
+
+
+def test_language_batches_equal_a_plain_sum(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    model = language.Model(["a", "b", "c"], rng.integers(0, 50, (language.BUCKETS, 3)), np.array([1.0, 2.0, 3.0]))
+    texts = ["", None, "12", "x", "héllo wörld " * 50, "q" * 5000, "ab"]
+    for cells, piece in ((1 << 22, 1 << 18), (3 * 1024, 100)):
+        monkeypatch.setattr(language, "_CELLS", cells)
+        monkeypatch.setattr(language, "_SLICE", piece)
+        total, n = model.totals(texts)
+        for k, t in enumerate(texts):
+            codes = language.code_points(t or "")
+            grams = language.features(codes) if len(codes) > 1 else np.zeros(0, int)
+            assert n[k] == len(grams) and np.allclose(total[k], model.log[grams].sum(0, dtype=float))
+    assert model.predict(texts)[0][:3] == ["und"] * 3 and language.predict.__doc__
