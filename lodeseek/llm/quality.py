@@ -1,12 +1,13 @@
 """Quality classifier: a linear-chain conditional random field labels every line of a document good or bad.
 
 A line's potential sees its own features and those of its two neighbours; forward-backward gives each line's marginal, and the
-length-weighted mean of the marginals, calibrated on the training documents, is the document's quality.
+length-weighted mean of the marginals, calibrated on the training documents, is the document's quality. Only documents are labelled: in
+training a line's own label is latent, and its document's label is evidence for it, strong at first and weaker later, so that a good line in
+a bad document may be learnt as good.
 """
 
 from __future__ import annotations
 
-import math
 import operator
 from collections import Counter
 
@@ -14,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, fraction_of, utf8
+from .common import crc_mod, cut, fraction_of, free_name, utf8
 
-#: Labelled documents the field is fitted on, and consecutive lines taken of each (training only; scoring reads all lines).
-SAMPLE, LINES = 4_000, 120
-THRESHOLD, EPOCHS, RATE, DECAY = 0.3, 150, 0.08, 1e-3
+#: Labelled documents the field is fitted on, whole texts of them.
+SAMPLE = 4_000
+THRESHOLD, EPOCHS, RATE, DECAY = 0.3, 120, 0.08, 1e-3
+#: Log-odds with which a document's label speaks for a line's, in the first and in the second half of the training.
+EVIDENCE = (8.0, 2.0)
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
@@ -74,90 +78,103 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.concatenate([zero, x[:-1]]), np.concatenate([x[1:], zero])], axis=1)
 
 
+def places(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For the lines of documents laid end to end: how many lines of the document come before each, and how many after."""
+    n = np.array(sizes, np.int64)
+    before = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return before, np.repeat(n, n) - 1 - before
+
+
+def _composed(num_x, num_1, den_x, den_1, offset: np.ndarray, sign: int) -> np.ndarray:
+    """Log of the value at each place of maps x -> (num_x x + num_1) / (den_x x + den_1), each applied to the value at the place before it (sign
+    -1) or after it (sign 1), of which there are `offset`; the map at the end is constant. Spans of maps are composed by doubling, so that a text
+    takes as many steps as its length has binary digits."""
+    m = [np.array(c, float) for c in (num_x, num_1, den_x, den_1)]
+    step, at = 1, np.flatnonzero(offset >= 1)
+    while len(at):
+        a, b, c, d = (x[at] for x in m)
+        e, f, g, h = (x[at + sign * step] for x in m)
+        new = [a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h]
+        scale = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+        for x, y in zip(m, new, strict=True):
+            x[at] = y / scale
+        step *= 2
+        at = at[offset[at] >= step]
+    tiny = 1e-300
+    return np.log(np.maximum(m[1], tiny)) - np.log(np.maximum(m[3], tiny))
+
+
+def messages(theta: np.ndarray, switch: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward log-odds (with the line's own potential) and backward log-odds (without it) of every line, over all documents at once."""
+    t = np.exp(switch)
+    odds = np.exp(np.clip(theta, -30, 30))
+    first, last = before == 0, after == 0
+    ahead = _composed(np.where(first, 0, odds * t[1, 1]), np.where(first, odds, odds * t[0, 1]), np.where(first, 0, t[1, 0]), np.where(first, 1, t[0, 0]), before, -1)
+    follow = np.concatenate([odds[1:], [1.0]])
+    back = _composed(np.where(last, 0, follow * t[1, 1]), np.where(last, 1, t[1, 0]), np.where(last, 0, follow * t[0, 1]), np.where(last, 1, t[0, 0]), after, 1)
+    return ahead, back
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Field:
     """Binary linear chain: theta = weights . x is a line's log-odds of good, switch[a][b] the potential of a -> b."""
 
     def __init__(self, weights: np.ndarray, switch: np.ndarray, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.switch, self.slope, self.shift = weights, switch, slope, shift
 
-    def marginals(self, theta: list[float]) -> list[float]:
-        """Log-odds of good of every line, by forward-backward in log-odds form."""
-        (t00, t01), (t10, t11) = np.exp(self.switch).tolist()
-        exp, log = math.exp, math.log
-
-        def step(x: float, a: float, b: float, c: float, d: float) -> float:
-            if x > 30:
-                return log(d / b)
-            if x < -30:
-                return log(c / a)
-            y = exp(x)
-            return log((c + d * y) / (a + b * y))
-
-        ahead, x = [], None
-        for t in theta:
-            x = t if x is None else t + step(x, t00, t10, t01, t11)
-            ahead.append(x)
-        back = 0.0
-        for k in range(len(theta) - 2, -1, -1):
-            back = step(theta[k + 1] + back, t00, t01, t10, t11)
-            ahead[k] += back
-        return ahead
-
-    def raw(self, data: bytes) -> float:
-        x, size = line_features(data)
-        p = 1 / (1 + np.exp(-np.clip(self.marginals((with_neighbours(x) @ self.weights).tolist()), -30, 30)))
-        return float((p * size).sum() / size.sum()) if size.sum() else float(p.mean())
-
-    def score(self, data: bytes | None) -> float:
-        p = min(max(self.raw(data or b""), 1e-6), 1 - 1e-6)
-        return 1 / (1 + math.exp(-(self.slope * math.log(p / (1 - p)) + self.shift)))
+    def marginals(self, theta: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """Log-odds of good of every line of documents laid end to end, by forward-backward in log-odds form."""
+        ahead, back = messages(np.asarray(theta, float), self.switch, *places(sizes))
+        return ahead + back
+
+    def raw(self, theta: np.ndarray, sizes: list[int], lengths: np.ndarray) -> np.ndarray:
+        """Length-weighted mean of the lines' marginals of each document; of one without any character the plain mean."""
+        p, starts = _sigmoid(self.marginals(theta, sizes)), np.cumsum([0, *sizes[:-1]])
+        total = np.add.reduceat(lengths, starts)
+        return np.where(total > 0, np.add.reduceat(p * lengths, starts) / np.maximum(total, 1), np.add.reduceat(p, starts) / np.array(sizes))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        p = np.clip(raw, 1e-6, 1 - 1e-6)
+        return _sigmoid(self.slope * np.log(p / (1 - p)) + self.shift)
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        """Scores of whole texts; null scores as the empty text."""
+        if not texts:
+            return np.zeros(0)
+        made = [line_features(t or b"") for t in texts]
+        theta = np.concatenate([with_neighbours(x) @ self.weights for x, _ in made])
+        return self.calibrated(self.raw(theta, [len(x) for x, _ in made], np.concatenate([n for _, n in made]).astype(float)))
+
+
+def _switches(theta: np.ndarray, ahead: np.ndarray, back: np.ndarray, switch: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Expected numbers of the four label pairs of neighbouring lines at and at + 1."""
+    a, c = np.clip(ahead[at], -30, 30), np.clip(theta[at + 1] + back[at + 1], -30, 30)
+    w = np.exp(np.stack([switch[0, 0] + 0 * a, switch[0, 1] + c, switch[1, 0] + a, switch[1, 1] + a + c]))
+    return (w / w.sum(0)).sum(1).reshape(2, 2)
 
 
 def _train(docs: list[tuple[np.ndarray, int]]) -> Field:
-    """Maximum likelihood of the documents' labels on all their lines, by Adam, with forward-backward over padded batches."""
+    """Maximum likelihood by Adam of the documents' labels as evidence for the latent labels of all their lines."""
     n_x = 3 * N_FEATURES
     params = np.zeros(n_x + 4)
     if not docs:
         return Field(params[:n_x], params[n_x:].reshape(2, 2))
-    docs = sorted(docs, key=lambda d: len(d[0]))
-    groups = []
-    for at in range(0, len(docs), 500):
-        part = docs[at : at + 500]
-        longest = max(len(d[0]) for d in part)
-        x, on = np.zeros((len(part), longest, n_x), np.float32), np.zeros((len(part), longest), bool)
-        for i, (f, _) in enumerate(part):
-            x[i, : len(f)], on[i, : len(f)] = f, True
-        groups.append((x, on, np.array([d[1] for d in part], float)))
-    total = sum(g[1].sum() for g in groups)
+    x = np.concatenate([with_neighbours(f) for f, _ in docs]).astype(np.float32)
+    before, after = places([len(f) for f, _ in docs])
+    y = np.repeat([2.0 * label - 1 for _, label in docs], [len(f) for f, _ in docs])
+    inner = np.flatnonzero(after > 0)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for epoch in range(1, EPOCHS + 1):
-        grad = np.zeros_like(params)
         switch = params[n_x:].reshape(2, 2)
-        for x, on, y in groups:
-            theta = x @ params[:n_x].astype(np.float32)
-            n, length = theta.shape
-            unary = np.stack([np.zeros_like(theta), theta], -1).astype(float)
-            alpha, beta = np.zeros((length, n, 2)), np.zeros((length, n, 2))
-            alpha[0] = unary[:, 0]
-            for t in range(1, length):
-                new = np.logaddexp(alpha[t - 1][:, :1] + switch[0], alpha[t - 1][:, 1:] + switch[1]) + unary[:, t]
-                alpha[t] = np.where(on[:, t, None], new, alpha[t - 1])
-            for t in range(length - 2, -1, -1):
-                ahead = beta[t + 1] + unary[:, t + 1]
-                new = np.logaddexp(ahead[:, :1] + switch[:, 0], ahead[:, 1:] + switch[:, 1])
-                beta[t] = np.where(on[:, t + 1, None], new, 0)
-            z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-            good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T
-            slack = np.where(on, y[:, None] - good, 0)
-            grad[:n_x] += np.einsum("nt,ntf->f", slack, x)
-            if length > 1:
-                pair = np.exp(alpha[:-1, :, :, None] + switch + (unary[:, 1:].transpose(1, 0, 2) + beta[1:])[:, :, None, :] - z[None, :, None, None])
-                live = on[:, 1:].T
-                steps = live.sum(0)
-                seen = np.zeros((2, 2))
-                seen[0, 0], seen[1, 1] = (steps * (1 - y)).sum(), (steps * y).sum()
-                grad[n_x:] += (seen - (pair * live[:, :, None, None]).sum((0, 1))).ravel()
-        grad = grad / total - DECAY * params
+        theta = (x @ params[:n_x].astype(np.float32)).astype(float)
+        told = theta + EVIDENCE[2 * (epoch - 1) // EPOCHS] * y
+        free, given = messages(theta, switch, before, after), messages(told, switch, before, after)
+        slack = _sigmoid(given[0] + given[1]) - _sigmoid(free[0] + free[1])
+        grad = np.concatenate([slack.astype(np.float32) @ x, (_switches(told, *given, switch, inner) - _switches(theta, *free, switch, inner)).ravel()])
+        grad = grad / len(x) - DECAY * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params += RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
         params[n_x:] = np.clip(params[n_x:], -4, 4)
@@ -176,62 +193,53 @@ def _calibrate(field: Field, raw: np.ndarray, y: np.ndarray) -> Field:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field:
-    """Fit on at most about `sample` labelled documents, drawn by a hash of doc_id; rows with a null id or label don't count.
+    """Fit on the whole texts of at most about `sample` labelled documents, drawn by a hash of doc_id; rows with a null id or a label other
+    than 0 and 1 don't count, repeated ones count once, and of rows that share a doc_id the smallest text counts. Null texts are empty.
 
-    Without labelled rows every document scores 0.5.
+    Without labelled rows every document scores 0.5. The fit is the same however the rows are dealt.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).distinct()
+    known = cut(known, "labelled")
     n = known.count()
     if n > sample:
-        known = known.where(fraction_of(F.col("i"), "quality") < sample / n).limit(2 * sample)
-    known = known.cache()
-    drawn = known.count()
-    if drawn > 2 * sample:
+        known = known.where(fraction_of(F.col("i"), "quality") < sample / n)
+    if known.count() > 2 * sample + 100:
         raise AssertionError("the sample is bounded")
 
     def run(batches):
-        rng = np.random.default_rng(5)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = []
-                for data in utf8(batch.column("t")):
-                    x, size = line_features(data or b"")
-                    x = with_neighbours(x).astype(np.float32)
-                    start = int(rng.integers(max(1, len(x) - LINES + 1)))
-                    rows.append((x[start : start + LINES].tobytes(), size[start : start + LINES].astype(np.int64).tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["i", "y", "x", "size"])
-
-    texts = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "i").select(F.col("i").cast("string").alias("i"), "y", "t")
-    rows = sorted(texts.mapInArrow(run, "i string, y int, x binary, size binary").collect(), key=lambda r: (r.i, r.y, bytes(r.x)))
-    known.unpersist()
-    data = [(np.frombuffer(bytes(r.x), np.float32).reshape(-1, 3 * N_FEATURES), r.y) for r in rows]
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                made = [line_features(data or b"") for data in utf8(batch.column("t"))]
+                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array([x.astype(np.float32).tobytes() for x, _ in made], pa.binary()), pa.array([n.astype(np.int64).tobytes() for _, n in made], pa.binary())], names=["i", "y", "x", "size"])
+
+    texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(known), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select(F.col("i").cast("string").alias("i"), "y", "t")
+    rows = sorted(texts.mapInArrow(run, "i string, y int, x binary, size binary").collect(), key=lambda r: (r.i, r.y))
+    data = [(np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES), r.y) for r in rows]
     field = _train(data)
     if not data:
         return field
-    raw = []
-    for (x, _), r in zip(data, rows, strict=True):
-        p = 1 / (1 + np.exp(-np.clip(field.marginals((x @ field.weights).tolist()), -30, 30)))
-        size = np.frombuffer(bytes(r.size), np.int64)
-        raw.append((p * size).sum() / size.sum() if size.sum() else p.mean())
-    return _calibrate(field, np.array(raw), np.array([y for _, y in data], float))
+    theta = np.concatenate([with_neighbours(x) @ field.weights for x, _ in data])
+    raw = field.raw(theta, [len(x) for x, _ in data], np.concatenate([np.frombuffer(bytes(r.size), np.int64) for r in rows]).astype(float))
+    return _calibrate(field, raw, np.array([y for _, y in data], float))
 
 
-def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """docs with score added (a column of that name is replaced); whole texts, one pass. Null scores as the empty text."""
-    keep = [c for c in docs.columns if c not in ("score", "__text")]
+def score(docs: DataFrame, field: Field, text: str = "text", to: str = "score") -> DataFrame:
+    """docs with `to` added (a column of that name is replaced); whole texts, one pass. Null scores as the empty text, rows that repeat score
+    alike, an empty table gives an empty result."""
+    keep = [c for c in docs.columns if c.lower() != to.lower()]
+    body = free_name(docs, "body")
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         of = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                said = [of.score(t) for t in utf8(batch.column("__text"))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(said, pa.float64())], names=[*keep, "score"])
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                said = of.scores(utf8(batch.column(body)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(said, pa.float64())], names=[*keep, to])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, F.col(text).cast("string").alias(body)).mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -245,10 +253,6 @@ def op7(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, with the same columns, that score at least THRESHOLD."""
-    names = docs.columns
-    marked = docs.select(*names, F.col("text").alias("__copy")) if "score" in names else docs
-    if marked is docs:
-        return score(docs, fit(docs, learnable(labels))).where(F.col("score") >= THRESHOLD).select(*names)
-    renamed = marked.withColumnRenamed("score", "__score").drop("__copy")
-    return score(renamed, fit(docs, learnable(labels))).where(F.col("score") >= THRESHOLD).drop("score").withColumnRenamed("__score", "score").select(*names)
+    """docs, with the same columns, that score at least THRESHOLD. Rows that repeat go or stay together; an empty table gives an empty result."""
+    mark = free_name(docs, "score")
+    return score(docs, fit(docs, learnable(labels)), to=mark).where(F.col(mark) >= THRESHOLD).select(*docs.columns)

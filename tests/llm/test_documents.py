@@ -189,10 +189,46 @@ def test_field_marginals_equal_enumeration():
     import numpy as np
 
     field = quality.Field(np.zeros(1), np.array([[0.5, -1.0], [0.2, 1.5]]))
-    theta = [0.3, -2.0, 1.1, 0.4]
+    texts = [[0.3, -2.0, 1.1, 0.4], [0.7], [-1.0, 2.0, 0.1, 0.0, 3.0, -2.5, 1.0], [5.0, -40.0, 40.0]]
+    got = field.marginals(np.concatenate(texts), [len(t) for t in texts]).tolist()
+    ahead, back = quality.messages(np.concatenate(texts), field.switch, *quality.places([len(t) for t in texts]))
+    for theta in texts:
+        theta = [min(max(t, -30), 30) for t in theta]
+        weight = {s: math.exp(sum(t for t, y in zip(theta, s, strict=True) if y) + sum(field.switch[a, b] for a, b in zip(s, s[1:], strict=False))) for s in itertools.product((0, 1), repeat=len(theta))}
+        total = sum(weight.values())
+        for k in range(len(theta)):
+            assert 1 / (1 + math.exp(-got.pop(0))) == pytest.approx(sum(v for s, v in weight.items() if s[k]) / total, abs=1e-9)
+    theta = np.array(texts[0])
+    pairs = quality._switches(theta, ahead[:4], back[:4], field.switch, np.arange(3))
     weight = {s: math.exp(sum(t for t, y in zip(theta, s, strict=True) if y) + sum(field.switch[a, b] for a, b in zip(s, s[1:], strict=False))) for s in itertools.product((0, 1), repeat=4)}
-    for k, x in enumerate(field.marginals(theta)):
-        assert 1 / (1 + math.exp(-x)) == pytest.approx(sum(v for s, v in weight.items() if s[k]) / sum(weight.values()))
+    for a, b in itertools.product((0, 1), repeat=2):
+        assert pairs[a, b] == pytest.approx(sum(v * sum((x, y) == (a, b) for x, y in zip(s, s[1:], strict=False)) for s, v in weight.items()) / sum(weight.values()))
+
+
+def test_long_texts_score_as_line_by_line():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    field = quality.Field(rng.standard_normal(3 * quality.N_FEATURES) * 0.2, np.array([[0.8, -0.6], [-0.7, 0.9]]), 1.2, -0.1)
+    text = "\n".join("Word " * int(rng.integers(12)) + "!" * int(rng.integers(3)) for _ in range(3000)).encode()
+    x, size = quality.line_features(text)
+    theta = quality.with_neighbours(x) @ field.weights
+    t, logs = np.exp(field.switch), []
+    r = math.exp(theta[0])
+    ahead = [r]
+    for k in theta[1:]:
+        r = math.exp(k) * (t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r)
+        ahead.append(r)
+    q, back = 1.0, [1.0]
+    for k in theta[:0:-1]:
+        y = math.exp(k) * q
+        q = (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y)
+        back.append(q)
+    logs = np.array(ahead) * np.array(back[::-1])
+    p = logs / (1 + logs)
+    raw = (p * size).sum() / size.sum()
+    want = 1 / (1 + math.exp(-(1.2 * math.log(raw / (1 - raw)) - 0.1)))
+    assert field.scores([b"", text, None])[1] == pytest.approx(want, abs=1e-9) and len(field.scores([])) == 0
 
 
 def test_quality_learns_and_handles_odd_rows(spark, odd, none):
