@@ -41,14 +41,14 @@ def brute_windows(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 40])
-def test_contamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_windows", "piece"), [(dc.BLOCK_WINDOWS, dc.PIECE), (6, 50_000), (7, 2)])
+def test_contamination_equals_brute_force(spark, block_windows, piece):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["Ab", "b", "ç", "d9"]) for _ in range(n))
     items = [(i, text(rng.choice([0, 1, 3, 9, 10, 12]))) for i in range(9)] + [(9, None), (0, "Ab b")]
     docs = [(i, text(rng.randrange(40))) for i in range(40)] + [(99, None), (99, "")]
     docs += [(50, f"x {items[4][1]} y {items[5][1]}, Z")]
-    got = dc.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = dc.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=block_windows, piece=piece)
     got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.hit_items)) for r in got.collect())
     assert got == sorted((i, *brute_windows(t, items)[:2], tuple(brute_windows(t, items)[2])) for i, t in docs)
 
@@ -58,6 +58,10 @@ def test_decontaminate_modes(spark, odd, none):
     kept = dc.decontaminate(odd, bench)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4"] and kept.columns == odd.columns
     cut = {r.doc_id: r.text for r in dc.decontaminate(odd, bench, mode="spans").collect()}
+    clash = odd.withColumnsRenamed({"score": "n_hit", "spans": "at", "lang": "__hits", "source": "hit_runs"})
+    for mode in ("documents", "spans"):
+        a, b = (sorted(map(str, map(tuple, dc.decontaminate(x, bench, mode=mode).collect()))) for x in (odd, clash))
+        assert a == b and dc.decontaminate(clash, bench, mode=mode).columns == clash.columns
     assert cut[6] == " K é" and cut[1] is None and cut[5] == " k"
     assert dc.op1(none, bench).count() == 0 and dc.op1(odd, bench.limit(0)).where("contaminated").count() == 0
 
