@@ -1,8 +1,8 @@
 """WARC archives as chunked record tables.
 
-Payloads of any size go through the writer and the reader a chunk at a time: a chunk row has the record's identifier,
-the chunk's number, its bytes and the digest of the payload up to its end, so that no step holds a whole record's table row
-and the last chunk's digest is the payload's. Archives are gzip WARC/1.1 files, a member a record, written
+Payloads are cut into chunk rows where the pages are read; shuffles, sorts, the writer and the reader see a chunk at a time. A chunk row that is read
+back has the record's identifier, the chunk's number, its bytes and the digest of the payload up to its end, so that the
+last chunk's digest is the payload's. Only the source's own cell holds a whole payload. Archives are gzip WARC/1.1 files, a member a record, written
 under a temporary name and renamed, one to a task; the manifest of the attempts that committed says which
 files count, so a lost executor costs the repeated tasks only.
 """
@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, small
 
 CHUNK = 1 << 20
 #: Equal payloads of at least so many bytes are written once and revisited.
@@ -29,17 +29,34 @@ MANIFEST = "archive string, records long, bytes long"
 CHUNKS = "page_id long, record_type string, refers_to long, url string, length long, stated string, chunk_no long, n_bytes long, is_last boolean, digest string, data binary"
 
 
-def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) -> with payload (binary), payload_digest, record_type and refers_to.
+def _body(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
 
-    Only digests that repeat are joined back; a payload shared by very many pages is pre-aggregated to one row first.
+
+def repeated(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(digest, first_id) of the payloads of at least `least` bytes that occur more than once: digests alone are shuffled, pre-aggregated."""
+    digests = _body(pages).where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest"))
+    return digests.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+
+
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
+    """pages (page_id, url, html) -> rows (rid, chunk_no, last, page_id, url, record_type, refers_to, payload_digest, payload_bytes, data) for the writer, sorted
+    by (rid, chunk_no) in each partition and a record's rows in one.
+
+    rid numbers the rows of pages. A revisit is one row without data, an empty payload one row. Chunks meet the repeated digests, broadcast if
+    they are few; short payloads never repeat and get keys of their own, so that no key gathers them.
     """
-    body = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    body = body.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = body.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first_id")
-    joined = body.join(first, "payload_digest", "left")
+    first = cut(repeated(pages, least), "repeated")
+    body = _body(pages).withColumn("rid", F.monotonically_increasing_id())
+    body = body.withColumn("key", F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.col("rid").cast("string")))
+    parts = F.greatest(F.ceil(F.col("payload_bytes") / F.lit(chunk)), F.lit(1))
+    rows = body.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("chunk_no"))
+    rows = rows.select("rid", "key", "page_id", "url", "payload_digest", "payload_bytes", "chunk_no", (F.col("chunk_no") == parts - 1).alias("last"), F.substring("payload", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)).alias("data"))
+    joined = rows.join(small(first, first.count()), F.col("key") == F.col("digest"), "left")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
-    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    out = joined.select("rid", "chunk_no", (F.col("last") | revisit).alias("last"), "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("data")).alias("data"))
+    return out.where("record_type = 'response' OR chunk_no = 0").sortWithinPartitions("rid", "chunk_no")
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -62,36 +79,48 @@ def _header(page_id, url, kind, refers, digest, n) -> tuple[bytes, bytes]:
     return ("\r\n".join(lines) + "\r\n\r\n").encode(), http
 
 
-def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """Write the classified records, an archive a task; the manifest (archive, records, bytes), already durable."""
+class _Writer:
+    """A gzip WARC file, a member a record, opened under a temporary name."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name, self.records = folder, f"{uuid.uuid4().hex}.warc.gz", 0
+        self.where, self.path = _open(folder)
+        self.where.create_dir(self.path, recursive=True)
+        self.out = self.where.open_output_stream(f"{self.path}/.{self.name}", compression=None)
+
+    def add(self, row: dict, data: pa.Buffer | None) -> None:
+        if row["chunk_no"] == 0:
+            self.gz = zlib.compressobj(1, zlib.DEFLATED, 31)
+            for part in _header(row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_digest"], row["payload_bytes"]):
+                self.out.write(self.gz.compress(part))
+        if data is not None and data.size:
+            self.out.write(self.gz.compress(data))
+        if row["last"]:
+            self.out.write(self.gz.compress(b"\r\n\r\n") + self.gz.flush())
+            self.records += 1
+
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        self.where.move(f"{self.path}/.{self.name}", f"{self.path}/{self.name}")
+        size = self.where.get_file_info(f"{self.path}/{self.name}").size
+        return pa.RecordBatch.from_pydict({"archive": [f"{self.folder}/{self.name}"], "records": pa.array([self.records], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """Write chunk_rows, an archive a task; the manifest (archive, records, bytes), already durable."""
+    head = ["chunk_no", "last", "page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = _open(folder)
-        name, count, size, out = f"{uuid.uuid4().hex}.warc.gz", 0, 0, None
+        writer = None
         for batch in batches:
             for i in range(batch.num_rows):
-                if out is None:
-                    where.create_dir(path, recursive=True)
-                    out = where.open_output_stream(f"{path}/.{name}", compression=None)
-                row = {c: batch.column(c)[i].as_py() for c in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")}
-                head, http = _header(row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_digest"], row["payload_bytes"])
-                gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                parts = [head, http]
-                if row["record_type"] == "response" and row["payload_bytes"]:
-                    data = batch.column("payload")[i].as_buffer()
-                    parts += [data.slice(at, min(chunk, data.size - at)) for at in range(0, data.size, chunk)]
-                for part in (*parts, b"\r\n\r\n"):
-                    size += out.write(gz.compress(part)) or 0
-                out.write(gz.flush())
-                count += 1
-        if out is not None:
-            out.close()
-            where.move(f"{path}/.{name}", f"{path}/{name}")
-            size = where.get_file_info(f"{path}/{name}").size
-            yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
-
-    cols = ["page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to"]
-    return cut(records.select(*cols).mapInArrow(run, MANIFEST), "manifest")
+                writer = writer or _Writer(folder)
+                data = batch.column("data")[i]
+                writer.add({c: batch.column(c)[i].as_py() for c in head}, data.as_buffer() if data.is_valid else None)
+        if writer is not None:
+            yield writer.close()
+
+    return cut(rows.select("rid", *head, "data").mapInArrow(run, MANIFEST), "manifest")
 
 
 class _Reader:
@@ -202,7 +231,7 @@ def op10(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    chunks = read_archives(write_archives(classify(pages), folder), data=False)
+    chunks = read_archives(write_archives(chunk_rows(pages), folder), data=False)
     # a record is done at its last chunk, whose number, size and running digest give the whole payload's
     kind = F.col("record_type")
     return chunks.where("is_last").select(
