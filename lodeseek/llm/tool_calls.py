@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, small
 
 #: Tools of the query's conversations.
 SCHEMAS = {
@@ -22,8 +22,8 @@ SCHEMAS = {
         "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "refs": {"type": "array", "items": {"type": "string"}}},
     }
 }
-#: Turns of a conversation that are ordered in one piece.
-SPAN = 256
+#: Turns of a conversation that are ordered in one piece, and references of one that are levelled in one piece.
+SPAN, MOST_REFS = 256, 50_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -41,7 +41,12 @@ def canonical(value) -> str:
             return int(x) if x.is_integer() and abs(x) < 2**53 else x
         return x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encodable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _encodable(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 can't hold, as JSON writes them."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _is(value, kind: str) -> bool:
@@ -121,8 +126,8 @@ def _validate(calls: DataFrame, schemas: dict) -> DataFrame:
                     try:
                         value = json.loads(text if text is not None else "null", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
                         body = canonical(value)
-                        wrong = violations(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
-                        refs.append(sorted(set(references(value))))
+                        wrong = [_encodable(e) for e in violations(value, schemas[name])] if name in schemas else [f"unknown tool {name}"]
+                        refs.append(sorted({_encodable(r) for r in references(value)}))
                     except (ValueError, RecursionError) as e:
                         body, wrong = None, [f"not JSON: {type(e).__name__}"]
                         refs.append([])
@@ -134,18 +139,67 @@ def _validate(calls: DataFrame, schemas: dict) -> DataFrame:
     return calls.select("conv_id", "turn", "call_id", "name", "arguments").mapInArrow(run, "conv_id long, turn long, call_id string, name string, arguments string, errors array<string>, refs array<string>")
 
 
-def topological_levels(calls: DataFrame) -> DataFrame:
+def levels_of(edges: list[tuple[str, str]]) -> list[tuple[str, int]]:
+    """(call, level) of the calls with references (call, ref) of one conversation, without those in or behind a cycle."""
+    behind, waits, level = {}, {}, {}
+    for call, ref in edges:
+        behind.setdefault(ref, []).append(call)
+        waits[call] = waits.get(call, 0) + 1
+    ready = [x for x in behind if x not in waits]
+    while ready:
+        x = ready.pop()
+        for call in behind.get(x, ()):
+            level[call] = max(level.get(call, 0), level.get(x, 0) + 1)
+            waits[call] -= 1
+            if not waits[call]:
+                ready.append(call)
+    return [(c, n) for c, n in level.items() if not waits[c]]
+
+
+def _levels_in_pieces(edges: DataFrame) -> DataFrame:
+    """levels_of every conversation; the rows of one lie together and in sequence, and one at a time is held."""
+
+    def run(batches):
+        conv, held = None, []
+
+        def done() -> pa.RecordBatch:
+            got = levels_of(held)
+            return pa.RecordBatch.from_arrays([pa.array([conv] * len(got), pa.int64()), pa.array([c for c, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["conv_id", "call_id", "level"])
+
+        for batch in batches:
+            for c, call, ref in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "call_id", "ref")), strict=True):
+                if c != conv:
+                    if held:
+                        yield done()
+                    conv, held = c, []
+                held.append((call, ref))
+        if held:
+            yield done()
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.select("conv_id", "call_id", "ref").repartition(n, "conv_id").sortWithinPartitions("conv_id")
+    return rows.mapInArrow(run, "conv_id long, call_id string, level long")
+
+
+def topological_levels(calls: DataFrame, most_refs: int = MOST_REFS) -> DataFrame:
     """(conv_id, call_id, level): 0 without references to calls of the conversation, else one more than the greatest level referred to.
 
-    Calls in or behind a cycle are left out. An open call is the greatest of a base and of its references' levels plus a weight. In a round,
-    a reference to a call whose level is known goes into the base, and one to a call that has a single reference itself jumps over that call:
-    joins on the identifiers, so a long conversation is never gathered. A chain's or a tree's rounds grow with the logarithm of its length;
-    where calls have several references each that stay open, a round may resolve one level only.
+    Calls in or behind a cycle are left out. A conversation of at most most_refs references is levelled in one pass. A longer one is never gathered:
+    there an open call is the greatest of a base and of its references' levels plus a weight. In a round, a reference to a call whose level is known
+    goes into the base, and one to a call that has a single reference itself jumps over that call, by joins on the identifiers. A chain's or a
+    tree's rounds grow with the logarithm of its length; where calls have several references each that stay open, a round may resolve one level only.
     """
     known = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct()
     edges = cut(edges.join(known.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).select("conv_id", "call_id", "ref", F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("base")), "edges")
-    done = cut(known.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("level")), "levels")
+    done = known.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
+    long = cut(edges.groupBy("conv_id").count().where(F.col("count") > most_refs).select("conv_id"), "long")
+    n_long = long.count()
+    done = cut(done.union(_levels_in_pieces(edges.join(small(long, n_long), "conv_id", "left_anti"))), "levels")
+    if not n_long:
+        return done.select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
+    held, edges = edges, cut(edges.join(small(long, n_long), "conv_id", "left_semi"), "edges")
+    forget(held)
     # a path without a cycle weighs no more than there are calls with references
     most = edges.select("conv_id", "call_id").distinct().count()
     while True:

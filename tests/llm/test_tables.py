@@ -144,9 +144,12 @@ def test_levels_of_long_chains_graphs_and_cycles(spark, monkeypatch):
     rows = [(1, str(i), [str(j) for j in r]) for i, r in refs.items()]
     cuts = []
     monkeypatch.setattr(tool_calls, "cut", lambda df, name: cuts.append(name) or df.sparkSession.createDataFrame(df.collect(), df.schema))
-    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.topological_levels(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
-    assert got == {(1, str(i)): x for i, x in level.items()}
+    df = spark.createDataFrame(rows + [(2, "a", []), (2, "b", ["a", "1"]), (3, "1", ["1"])], "conv_id long, call_id string, refs array<string>")
+    for most_refs in (tool_calls.MOST_REFS, 1):
+        got = {(r.conv_id, r.call_id): r.level for r in tool_calls.topological_levels(df, most_refs).collect()}
+        assert got == {(1, str(i)): x for i, x in level.items()} | {(2, "a"): 0, (2, "b"): 1}
     cuts.clear()
+    monkeypatch.setattr(tool_calls.topological_levels, "__defaults__", (10,))
     turns = spark.createDataFrame([(7, t, "user", "q") for t in range(0, 600, 3)], "conv_id long, turn long, role string, text string")
     got = {r.turn: r.level for r in tool_calls.op3(turns).collect()}
     assert got == {3 * i: i for i in range(200)} and cuts.count("moved") <= 10
@@ -167,3 +170,14 @@ def test_warc_round_trip(spark, tmp_path, chunk):
     assert all(back[i] == data[i] for i in back if i is not None) and {1, 4, 5, 6, 7} <= set(back)
     assert chunks.agg({"n_bytes": "max"}).first()[0] <= chunk and warc.chunk_rows(df, chunk).selectExpr("max(length(data))").first()[0] <= chunk
     assert warc.op10(df.limit(0)).count() == 0
+
+
+def test_tool_calls_of_odd_texts(spark):
+    long = "word " * 400_000
+    calls = [(1, 0, "a", "reply", '{"text": "\\ud800", "turn": 1, "refs": ["\\udfff"], "\\ud801": 1}'), (1, 1, "b", "reply", json.dumps({"text": long, "turn": 1})), (1, 1, "b", "reply", json.dumps({"text": long, "turn": 1})), (1, 2, "c", "reply", "[" * 100_000), (1, 3, "d", "reply", "9" * 6000), (1, 4, "e", "reply", "")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string").selectExpr("*", "turn AS level", "'x' AS status")
+    r = spark.createDataFrame([(1, 0, "a", long), (1, 0, "a", long)], "conv_id long, turn long, call_id string, content string").selectExpr("*", "1 AS answered")
+    got = {x.call_id: x for x in tool_calls.link(c, r).collect()}
+    assert sorted(got) == ["a", "b", "c", "d", "e"] and got["a"].status == "linked" and json.loads(got["a"].json)["arguments"]["text"] == "\ud800"
+    assert got["a"].errors == ["$.\\ud801: unknown"] and got["b"].valid and json.loads(got["b"].json)["arguments"]["text"] == long
+    assert [got[k].valid for k in "cde"] == [False] * 3 and json.loads(got["c"].json)["arguments"] is None
