@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kinded, match_spans, small, spans_text
+from .common import cut, free_name, kinded, match_spans, small, spans_text
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Documents a term must share with an entity (all of its documents if there are fewer), and the disclosure from
@@ -22,7 +22,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}][\p{L}\p{N}]{2,}"
+TERM = r"\p{L}[\p{L}\p{N}]+"
 
 
 def _digits(x: Column) -> Column:
@@ -111,50 +111,59 @@ def _term_spans(text: Column, marks: Column) -> Column:
     return F.when(F.size(marks) > 0, found).otherwise(none)
 
 
-def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, base, terms) for each row of docs: base are entity spans, terms spans with a disclosure.
+def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, key, check, base, terms) for each row of docs: base are entity spans, terms spans with a disclosure.
 
-    Every occurrence of a disclosing term in any document is a span; those that overlap an entity are left out.
-    Null texts are empty. A row's key is a hash of doc_id and text, so rows that repeat get the same spans and count as one document.
-    An empty table gives an empty result; other columns are ignored.
+    Every occurrence of a disclosing term (two letters or digits at least, the first a letter) in any document is a span; those that overlap
+    an entity are left out. Null texts are empty. key and check are two hashes of doc_id and text: rows that repeat get the same spans and count as one
+    document, and spans are handed to a row only where both agree. An empty table gives an empty result; other columns are ignored.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    body = body.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = body.select("doc_id", "key", "text", entity_spans(F.col("text")).alias("base"))
+    body = body.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("check", F.xxhash64(F.lit("check"), "text", "doc_id"))
+    spans = body.select("doc_id", "key", "check", "text", entity_spans(F.col("text")).alias("base"))
     entities = F.array_distinct(F.transform("base", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), x["m"])))
-    found = cut(spans.select("doc_id", "key", "base", entities.alias("entities"), F.when(F.size("base") > 0, _terms(F.col("text"))).alias("words")), "entities")
+    found = cut(spans.select("doc_id", "key", "check", "base", entities.alias("entities"), F.when(F.size("base") > 0, _terms(F.col("text"))).alias("words")), "entities")
     n = found.count()
-    terms, plain = disclosing_terms(found.where(F.size("base") > 0).select("key", "entities", "words"), body, n)
+    terms, plain = disclosing_terms(found.where(F.size("base") > 0).select("key", "entities", "words"), body, n, generalise, support)
     n_terms = terms.count()
     seen = body.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(plain), "term", "left_anti")
     grouped = seen.join(small(terms, n_terms, 200_000), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("marks"))
-    marked = body.select("key", "text").join(cut(grouped, "marks"), "key").select("key", _term_spans(F.col("text"), F.col("marks")).alias("terms")).dropDuplicates(["key"])
+    marked = body.select("key", "check", "text").join(cut(grouped, "marks"), "key").select("key", "check", _term_spans(F.col("text"), F.col("marks")).alias("terms")).dropDuplicates(["key", "check"])
     none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
-    out = found.select("doc_id", "key", "base").join(marked, "key", "left")
+    out = found.select("doc_id", "key", "check", "base").join(marked, ["key", "check"], "left")
     clear = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return out.select("doc_id", "key", "base", clear.alias("terms"))
+    return out.select("doc_id", "key", "check", "base", clear.alias("terms"))
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: float = REMOVE) -> DataFrame:
-    """docs, with the same columns and rows: entities become their kind in brackets, disclosing terms [TERM], and from `remove` on nothing."""
-    names = docs.columns
-    found = find_personal(docs, doc_id, text).dropDuplicates(["key"])
+def term_class(word: Column) -> Column:
+    """What a term is generalised to, by its form where it stands."""
+    return F.when(F.rlike(word, F.lit(r"\p{N}")), "[CODE]").when(F.rlike(word, F.lit(r"^\p{Lu}+$")), "[ACRONYM]").when(F.rlike(word, F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[WORD]")
+
+
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: float = REMOVE, **how) -> DataFrame:
+    """docs, with the same columns and rows: entities become their kind in brackets, disclosing terms their class ([CODE] with a digit, [ACRONYM] all
+    upper case, [NAME] capitalised, else [WORD]), and from `remove` on nothing. Null texts stay null."""
+    names, held = docs.columns, free_name(docs, "marks")
+    key, check = free_name(docs, "key"), free_name(docs, "check")
+    found = find_personal(docs, doc_id, text, **how).dropDuplicates(["key", "check"])
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    none = F.lit(None).cast("string")
     marks = F.concat(
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(label, x["k"] + 1).alias("by"))),
-        F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["disclosure"] >= remove, "").otherwise("[TERM]").alias("by"))),
+        F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["disclosure"] >= remove, "").otherwise(none).alias("by"))),
     )
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    body = docs.withColumn("__key", F.xxhash64(F.col(doc_id), t)).join(found.select(F.col("key").alias("__key"), marks.alias("__marks")), "__key", "left")
+    keyed = docs.withColumns({key: F.xxhash64(F.col(doc_id), t), check: F.xxhash64(F.lit("check"), t, F.col(doc_id))})
+    body = keyed.join(found.select(F.col("key").alias(key), F.col("check").alias(check), marks.alias(held)), [key, check], "left")
     some = F.aggregate(
-        F.array_sort("__marks"),
+        F.array_sort(held),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, x: F.when(x["e"] <= acc["at"], acc)
         .when(x["s"] < acc["at"], F.struct(acc["out"].alias("out"), x["e"].alias("at")))
-        .otherwise(F.struct(F.concat(acc["out"], t.substr(acc["at"] + 1, x["s"] - acc["at"]), x["by"]).alias("out"), x["e"].alias("at"))),
+        .otherwise(F.struct(F.concat(acc["out"], t.substr(acc["at"] + 1, x["s"] - acc["at"]), F.coalesce(x["by"], term_class(t.substr(x["s"] + 1, x["e"] - x["s"])))).alias("out"), x["e"].alias("at"))),
         lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t))),
     )
-    clean = F.when(F.size("__marks") > 0, some).otherwise(F.col(text))
+    clean = F.when(F.size(held) > 0, some).otherwise(F.col(text))
     return body.select(*[clean.alias(c) if c == text else F.col(c) for c in names])
 
 

@@ -164,6 +164,14 @@ def test_disclosing_terms(spark):
     assert clean[0] == "mail  to [EMAIL] now" and clean[45] == texts[45] and len(clean) == len(texts)
 
 
+def test_terms_are_generalised_to_their_class(spark):
+    texts = [f"ask Bo QX or k9z or zebulon {'z@x.org' if i < 4 else ''}" if i < 6 else f"u{i % 7} plain words" for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "k", "c") for i, t in enumerate(texts)] + [(900, None, "k", "c")], "doc_id long, text string, key string, check string")
+    clean = {r.doc_id: r for r in privacy.sanitise(docs).collect()}
+    assert clean[0].text == "[WORD] [NAME] [ACRONYM] [WORD] [CODE] [WORD] [WORD] [EMAIL]" and clean[199].text == texts[199] and clean[900].text is None
+    assert (clean[0].key, clean[0].check) == ("k", "c") and len(clean) == 201 and privacy.sanitise(docs, generalise=1.1).where("text LIKE '%Bo QX%'").count() == 6
+
+
 def test_disclosing_terms_of_whole_documents(spark):
     pad = "filler " * 40
     texts = [f"zebulon {pad}{'z@x.org' if i < 3 else f'u{i}@x.org'} {pad}" for i in range(4)] + [f"plain {pad}"] * 36 + [f"later Zebulon {pad}zebulon", "quokka k@y.org filler"]
