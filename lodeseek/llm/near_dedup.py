@@ -26,7 +26,7 @@ K, SKETCHES, ELL, SIMILARITY = 5, 72, 2, 0.8
 #: Words below which shorter k-mers are taken, and their length.
 SHORTER = ((20, 2), (128, 3))
 #: Partners of a pivot in one task; members of a chunk of a bucket, and their words; cells of a bag of words and of its coarse fold.
-PARTNERS, BLOCK, BLOCK_WORDS, BAG, COARSE = 64, 1024, 400_000, 1024, 64
+PARTNERS, BLOCK, BLOCK_WORDS, BAG, COARSE = 64, 2048, 800_000, 1024, 64
 #: Rows of identifiers that are broadcast to the texts; more meet them in a shuffle.
 NAMES = 400_000
 #: Buckets met HOT times among a HOT-th of the documents get their pivot by a broadcast of at most MOST_HOT rows, the rest by a sort.
@@ -357,7 +357,9 @@ def _classified(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFr
         own = F.pmod(F.xxhash64("doc"), F.col("chunks"))
         steps = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
         at = F.transform(steps, lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own > o).cast("int").alias("side")))
-        places = members.select("key", "doc", "comp", "out", F.explode(at).alias("at")).select("key", "doc", "comp", "out", "at.x", "at.y", "at.side")
+        zero = F.lit(0).cast("long")
+        places = members.where("chunks = 1").select("key", "doc", "comp", "out", zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"))
+        places = places.union(members.where("chunks > 1").select("key", "doc", "comp", "out", F.explode(at).alias("at")).select("key", "doc", "comp", "out", "at.x", "at.y", "at.side"))
         full = places.join(words, "doc").where(F.array_contains("keys", F.col("key")))
         # a fixed number of partitions: these few bytes take long, so they aren't to be packed together by size
         dealt = full.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
