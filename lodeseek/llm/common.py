@@ -115,14 +115,16 @@ def blocks(total_bytes: int, bound: int) -> int:
     return max(1, math.ceil(total_bytes / bound))
 
 
-def match_spans(text: Column, pattern: str, group: int | None = None) -> Column:
-    """Matches of a Java regex as array<struct<s, e, m>>: code points, end exclusive, leftmost and non-overlapping.
+def match_spans(text: Column, pattern: str | Column, group: int | None = None, some: bool = False) -> Column:
+    """Matches of a Java regex (a text, or a column of them) as array<struct<s, e, m>>: code points, end exclusive, leftmost and non-overlapping.
 
     Spark has no function for match positions; the pieces between matches and the matches themselves give
-    them as running lengths. m is the given group (the whole match by default). No match may be empty.
+    them as running lengths. m is the given group (the whole match by default). No match may be empty. With some=True most texts are
+    expected to match, and none is looked at first.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = hits if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    groups = hits if group is None else F.regexp_extract_all(text, pattern, F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     rows = F.arrays_zip(gaps.alias("g"), F.transform(hits, lambda x: F.length(x)).alias("n"), groups.alias("m"))
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
@@ -137,7 +139,7 @@ def match_spans(text: Column, pattern: str, group: int | None = None) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+    return found if some else F.when(F.regexp_like(text, pattern), found).otherwise(none)
 
 
 def spans_text(spans: Column, kinds: list[str]) -> Column:

@@ -89,26 +89,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, generalise:
     return terms, of_term.where(F.col("n_term") > n / 1000).join(terms, "term", "left_anti").select("term")
 
 
+def _forms(text: Column) -> Column:
+    """The distinct forms, as they stand, of the terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
 def _term_spans(text: Column, marks: Column) -> Column:
-    """array<struct<s, e, disclosure>> of every occurrence of the terms of marks (map of term to disclosure; a column, since an expression would be computed a word).
+    """array<struct<s, e, disclosure>> of every occurrence of the forms of marks (map of form to disclosure).
 
-    As match_spans, but only what is marked is appended, so a long text costs its length and not its square."""
-    hits = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("g"), F.transform(hits, lambda x: F.length(x)).alias("n"), F.transform(hits, lambda x: F.try_element_at(marks, F.lower(x))).alias("d"))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
-    found = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["d"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["n"]).alias("e"), x["d"].alias("disclosure")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(marks) > 0, found).otherwise(none)
+    The forms of a document make one regex, so that only what is marked is ever put into an array. A term is what is left of a run of letters and
+    digits without the digits at its start."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\p{N}*+(?:"), F.array_join(F.map_keys(marks), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    form = lambda x: F.regexp_replace(x["m"], r"^\p{N}+", "")
+    return F.transform(match_spans(text, pattern, some=True), lambda x: F.struct((x["e"] - F.length(form(x))).alias("s"), x["e"].alias("e"), F.element_at(marks, form(x)).alias("disclosure")))
 
 
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
@@ -126,8 +119,8 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", g
     n = found.count()
     terms, plain = disclosing_terms(found.where(F.size("base") > 0).select("key", "entities", "words"), body, n, generalise, support)
     n_terms = terms.count()
-    seen = body.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(plain), "term", "left_anti")
-    grouped = seen.join(small(terms, n_terms, 200_000), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("marks"))
+    seen = body.select("key", F.explode(_forms(F.col("text"))).alias("form")).withColumn("term", F.lower("form")).join(F.broadcast(plain), "term", "left_anti")
+    grouped = seen.join(small(terms, n_terms, 200_000), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("form", "disclosure"))).alias("marks"))
     marked = body.select("key", "check", "text").join(cut(grouped, "marks"), "key").select("key", "check", _term_spans(F.col("text"), F.col("marks")).alias("terms")).dropDuplicates(["key", "check"])
     none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
     out = found.select("doc_id", "key", "check", "base").join(marked, ["key", "check"], "left")
