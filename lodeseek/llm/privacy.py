@@ -16,6 +16,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: Documents a term must share with an entity (all of its documents if there are fewer), and the disclosure from
 #: which a term is generalised and from which it is removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.95
+#: Terms of more than a FREQUENT-th of the documents are told apart by broadcasts: there are at most FREQUENT times a document's mean number of terms.
+FREQUENT = 2000
 
 # The contract's regexes in a form that takes linear time: runs are possessive, and a match starts where a run starts or the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -76,7 +78,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, generalise:
     most = lambda c: F.lit(n ** (1 - generalise) * (1 + 1e-9)) * F.pow(c.cast("double"), F.lit(generalise))
     widest = of_entity.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
     # few terms are in so many documents; without them no term gathers a large share of the rows
-    common = F.broadcast(of_term.where(F.col("n_term") > max(widest, n / 1000)).select("term"))
+    common = F.broadcast(of_term.where(F.col("n_term") > max(widest, n / FREQUENT)).select("term"))
     near = found.select("key", F.explode("words").alias("term")).join(common, "term", "left_anti").join(of_term.where(F.col("n_term") <= widest), "term")
     named = found.select("key", F.explode("entities").alias("entity")).distinct().join(of_entity, "entity")
     both = named.join(near, "key").where(F.col("n_term") <= most(F.col("n_entity"))).select("entity", "n_entity", "term", "n_term", "key").distinct()
@@ -86,7 +88,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, generalise:
     pmi = F.ln(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
     pairs = both.where(F.col("n_both") >= F.least(F.lit(support), "n_entity")).select("term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= generalise)
     terms = cut(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
-    return terms, of_term.where(F.col("n_term") > n / 1000).join(terms, "term", "left_anti").select("term")
+    return terms, of_term.where(F.col("n_term") > n / FREQUENT).join(terms, "term", "left_anti").select("term")
 
 
 def _forms(text: Column) -> Column:
@@ -119,8 +121,11 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", g
     n = found.count()
     terms, plain = disclosing_terms(found.where(F.size("base") > 0).select("key", "entities", "words"), body, n, generalise, support)
     n_terms = terms.count()
-    seen = body.select("key", F.explode(_forms(F.col("text"))).alias("form")).withColumn("term", F.lower("form")).join(F.broadcast(plain), "term", "left_anti")
-    grouped = seen.join(small(terms, n_terms, 200_000), "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("form", "disclosure"))).alias("marks"))
+    seen = body.select("key", F.explode(_forms(F.col("text"))).alias("form")).withColumn("term", F.lower("form"))
+    # most forms are their term: they go through the shuffle once
+    seen = seen.join(F.broadcast(plain), "term", "left_anti").select("key", "term", F.when(F.col("form") != F.col("term"), F.col("form")).alias("form"))
+    marked = seen.join(small(terms, n_terms), "term").select("key", F.struct(F.coalesce("form", "term").alias("form"), "disclosure").alias("mark"))
+    grouped = marked.groupBy("key").agg(F.map_from_entries(F.collect_set("mark")).alias("marks"))
     marked = body.select("key", "check", "text").join(cut(grouped, "marks"), "key").select("key", "check", _term_spans(F.col("text"), F.col("marks")).alias("terms")).dropDuplicates(["key", "check"])
     none = F.expr("cast(array() as array<struct<s:int,e:int,disclosure:double>>)")
     out = found.select("doc_id", "key", "check", "base").join(marked, ["key", "check"], "left")
