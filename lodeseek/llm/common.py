@@ -30,7 +30,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
