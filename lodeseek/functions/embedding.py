@@ -60,6 +60,28 @@ class HashingProvider:
         return {"state": "ready", "model_id": f"hashing-{self.dims}", "dimensions": self.dims}
 
 
+class VectorTableProvider:
+    """Vectors from a table (text, embedding): texts that it lacks, and null texts, have none. Of repeated texts the first vector by value counts."""
+
+    def __init__(self, table: DataFrame, text: str = "text", embedding: str = "embedding", model_id: str = "table"):
+        self.table = table.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("__text")).agg(F.min(F.col(embedding).cast("array<float>")).alias("__vector"))
+        self.model_id = model_id
+
+    def is_ready(self) -> bool:
+        return True
+
+    def embed(self, text: str) -> list[float] | None:
+        found = self.table.where(F.col("__text") == text).first()
+        return None if found is None or found[1] is None else list(found[1])
+
+    def embed_column(self, df: DataFrame, text: str, to: str) -> DataFrame:
+        return df.join(self.table, F.col(text) == F.col("__text"), "left").withColumn(to, F.col("__vector")).drop("__text", "__vector")
+
+    def status(self) -> dict:
+        first = self.table.select(F.size("__vector")).first()
+        return {"state": "ready", "model_id": self.model_id, "dimensions": first[0] if first else 0}
+
+
 class NoProvider:
     """Keyword search only."""
 

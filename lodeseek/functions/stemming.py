@@ -82,7 +82,7 @@ def stem(word: str) -> str:
 
 def tokens(text: str | None) -> list[str]:
     """Lower case, accents stripped, split at everything that isn't a letter or digit, stemmed."""
-    if not text:
+    if not isinstance(text, str) or not text:  # null comes as None or as a float
         return []
     folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
     return [stem(w) for w in re.findall(r"[^\W_]+", folded)]

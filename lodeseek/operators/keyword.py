@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import tokens as stem_tokens
-from ..functions.text import WORD, word_tokens
+from ..functions.text import word_tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FALLBACK_BELOW, TRIGRAM_SHARE = 3, 0.8
@@ -108,5 +108,3 @@ def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows with rank from 1: the limit runs before the single-partition numbering."""
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
-
-WORD_PATTERN = WORD

@@ -77,7 +77,7 @@ def _signed(x: int) -> int:
 
 
 class Generator:
-    """32-bit xorshift with two words of state, as the compressed format defines it. The two seed masks."""
+    """32-bit xorshift with two words of state, as the compressed format defines it. The two seed masks, and the shifts 23, 17 and 26."""
 
     def __init__(self, seed: int = SEED):
         self.a, self.b = _signed(seed ^ 0xDEADBEEF), _signed(seed ^ 0xC0FFEE42)

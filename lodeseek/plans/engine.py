@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from ..operators import fusion, keyword, quantiser, store, structure
 from ..sources import code, files, markdown
 from ..sources.snapshot import TABLES, SnapshotStore
 
+#: Columns of the keyword index, and of their stems.
+INDEXED = ["entity_id", "entity_type", "name", "content"]
+STEMS = [f"t_{c}" for c in INDEXED]
 GET_TOKENS, CONTEXT_TOKENS, SEARCH_LIMIT, REFERENCE_LIMIT = 2000, 3000, 10, 20
 
 
@@ -23,6 +27,14 @@ def warehouse_of(root: str, base: str) -> str:
     return f"{base.rstrip('/')}/{os.path.basename(root.rstrip('/'))}-{hashlib.sha256(root.encode()).hexdigest()[:16]}"
 
 
+def _tokenised(docs: DataFrame, missing: bool = False) -> DataFrame:
+    """Keyword rows with the stems of their columns; with missing, only rows of an older schema, which have none, are stemmed."""
+    if not missing:
+        return docs.select("*", *[stemmed_tokens(F.col(c)).alias(f"t_{c}") for c in INDEXED])
+    old = docs.where("t_content IS NULL").drop(*STEMS)
+    return docs.where("t_content IS NOT NULL").unionByName(_tokenised(old))
+
+
 class Engine:
     """faithful=True filters types after the keyword limit, as the defaults define it; False filters before, so that results fill up."""
 
@@ -34,6 +46,8 @@ class Engine:
 
     def index(self, source: DataFrame | str, subdirectory: str = "", force: bool = False, prune: bool = False) -> dict:
         """Index a directory, or a table of (path, content). Unchanged files are skipped by hash; with prune, files that are gone go. Returns the counters."""
+        began = time.monotonic()
+        took = lambda: {"duration_ms": int(1000 * (time.monotonic() - began))}
         listed = files.read_directory(self.spark, source, subdirectory) if isinstance(source, str) else files.classified(source)
         stored = self.store.read("files")
         fresh = store.changed(listed, stored, force=force).withColumn("indexed_at", F.current_timestamp()).cache()
@@ -42,7 +56,7 @@ class Engine:
         n_gone = gone.count() if prune else 0
         counts = {"indexed": n_new, "skipped": n_all - n_new, "pruned": n_gone, "symbols": 0, "sections": 0, "vectors": 0}
         if not n_new and not n_gone:
-            return counts
+            return counts | took()
         symbols = code.as_entities(code.parse_symbols(fresh.where(~F.col("is_doc"))))
         sections = markdown.as_entities(markdown.parse_sections(fresh.where("is_doc")))
         symbols, sections = symbols.cache(), sections.cache()
@@ -60,7 +74,7 @@ class Engine:
             "symbols": keep("symbols").unionByName(new_symbols),
             "sections": keep("sections").unionByName(new_sections),
             # repeated ids of a file are one keyword row, so that a hit isn't counted twice
-            "search_docs": keep("search_docs").unionByName(docs.dropDuplicates(["entity_id"])),
+            "search_docs": _tokenised(keep("search_docs"), missing=True).unionByName(_tokenised(docs.dropDuplicates(["entity_id"]))),
             "vectors": keep("vectors").unionByName(vectors),
         }
         counts |= {"symbols": new_symbols.count(), "sections": new_sections.count()}
@@ -68,7 +82,7 @@ class Engine:
         counts["vectors"] = self.store.read("vectors").join(touched.distinct(), "file_path", "left_semi").count()
         for df in (fresh, symbols, sections):
             df.unpersist()
-        return counts
+        return counts | took()
 
     def _vectors(self, texts: DataFrame) -> DataFrame:
         if not self.provider.is_ready():
@@ -90,14 +104,15 @@ class Engine:
 
     def _keyword(self, query: str, type_: str, limit: int, fuzzy: bool) -> DataFrame:
         docs = self.store.read("search_docs")
+        if self.store.schema_version < 4:
+            docs = _tokenised(docs.drop(*STEMS))
         of_type = lambda df: df if type_ == "all" else df.where(F.col("entity_type") == type_)
         if '"' in query:  # not a query that the index can read: nothing matches, so the substring search opens
             fts = docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
         else:
             base = docs if self.faithful else of_type(docs)
-            cols = ["entity_id", "entity_type", "name", "content"]
-            tokens = base.select("entity_id", "entity_type", "name", *[stemmed_tokens(F.col(c)).alias(f"t_{c}") for c in cols])
-            fts = keyword.bm25(tokens, [f"t_{c}" for c in cols], keyword.phrases(query, stemmed=True))
+            # stems were stored with the snapshot: a query reads them and runs no Python
+            fts = keyword.bm25(base.select("entity_id", "entity_type", "name", *STEMS), STEMS, keyword.phrases(query, stemmed=True))
             fts = of_type(fts.orderBy(F.col("score").desc(), "entity_id").limit(2 * limit))
         rows = fts.select("entity_id", "entity_type", "name", "score")
         tri = docs.where(F.lit('"' not in query)).select("entity_id", "entity_type", "name")
@@ -167,15 +182,26 @@ class Engine:
         depth = structure.tree_depth(rows).select("id", "depth")
         return rows.join(depth, "id", "left").select("id", "type", "name", "kind", "line_start", "line_end", "signature", "parent_id", F.coalesce("depth", F.lit(0)).alias("depth"), "char_start").orderBy(F.col("type").desc(), "line_start", "char_start")
 
+    def outline_totals(self, file: str) -> DataFrame:
+        """total_symbols and total_sections of a file."""
+        of = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, 1).otherwise(0)), F.lit(0)).cast("long")
+        return self.entities().where(F.col("file_path") == file).agg(of("symbol").alias("total_symbols"), of("section").alias("total_sections"))
+
+    def references_of(self, names: DataFrame, limit: int = REFERENCE_LIMIT) -> DataFrame:
+        """name, file, line, context: references for every name of a table (name)."""
+        return structure.references_of(self.store.read("files"), names, "path", "content", limit).withColumnRenamed("path", "file")
+
     def references(self, name: str, limit: int = REFERENCE_LIMIT) -> DataFrame:
         """file, line, context of the lines that hold the name."""
         return structure.references(self.store.read("files"), name, "path", "content", limit).withColumnRenamed("path", "file")
 
     def status(self) -> DataFrame:
-        """One row of counts, vector coverage and storage."""
+        """One row of counts, vector coverage and storage, and the embedding provider's state."""
         one = lambda t, c: self.store.read(t).agg(F.count("*").alias(c))
         stats = one("files", "total_files").crossJoin(one("symbols", "total_symbols")).crossJoin(one("sections", "total_sections")).crossJoin(quantiser.storage_stats(self.store.read("vectors")))
         n = F.col("total_symbols") + F.col("total_sections")
+        state = self.provider.status()
+        stats = stats.select("*", F.lit(state["state"]).alias("embedding_state"), F.lit(state["model_id"]).cast("string").alias("model_id"), F.lit(state["dimensions"]).alias("dimensions"))
         return stats.withColumn("coverage_pct", F.when(n > 0, round_half_up(F.lit(100.0) * F.col("total_vectors") / n)).otherwise(0.0).cast("int"))
 
     # context
@@ -221,6 +247,11 @@ class Engine:
             out = out.unionByName(p.select(*shape))
         return out
 
+    def context_totals(self, bundle: DataFrame) -> DataFrame:
+        """reference_tokens and total_tokens of a bundle: unrounded quarters of characters, the target's tokens as they are."""
+        refs = F.sum(F.when(F.col("part") == "reference", F.col("tokens")).otherwise(0.0))
+        return bundle.agg(refs.alias("reference_tokens"), F.sum("tokens").alias("total_tokens"))
+
 
 def as_json(df: DataFrame) -> DataFrame:
     """Result rows as JSON texts."""

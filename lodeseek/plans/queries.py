@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.durable import shared_dir
+from ..functions.embedding import HashingProvider
 from ..functions.stemming import stemmed_tokens
 from ..operators import fusion, keyword, quantiser, store, structure, vectors
 from ..sources import code, files, markdown
+from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,11 +92,10 @@ def vec_batch_topk(spark, d):
 @query("""SELECT vec_id, CAST(i AS BIGINT) AS pair, CAST(least(floor((CASE WHEN t < 0 THEN t + 2 * pi() ELSE t END) / (pi() / 8)), 15) AS BIGINT) AS code
 FROM (SELECT vec_id, i, atan2(CAST(embedding[2 * i + 2] AS DOUBLE), CAST(embedding[2 * i + 1] AS DOUBLE)) AS t FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings))""")
 def polar_level0_codes(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
-    e = e.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1)).alias("pair"))
-    t = F.atan2(F.element_at("v", 2 * F.col("pair") + 2), F.element_at("v", 2 * F.col("pair") + 1))
-    turned = F.when(t < 0, t + 2 * F.pi()).otherwise(t)
-    return e.select("vec_id", F.col("pair").cast("long").alias("pair"), F.least(F.floor(turned / (F.pi() / 8)), F.lit(15)).cast("long").alias("code"))
+    # the first level has a code of four bits, a hexadecimal digit, for every two components
+    e = quantiser.compress(table(spark, d, "embeddings")).select("vec_id", F.hex("pq_angles").alias("digits"), "pq_dimensions")
+    e = e.select("vec_id", "digits", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("pq_dimensions") / 2) - 1)).alias("pair"))
+    return e.select("vec_id", "pair", F.conv(F.expr("substring(digits, cast(pair as int) + 1, 1)"), 16, 10).cast("long").alias("code"))
 
 
 @query("""SELECT count(*) AS total_vectors, CAST(sum(b) AS BIGINT) AS storage_bytes, printf('%.1f:1', sum(len(embedding) * 4) / sum(b)) AS compression_ratio
@@ -128,6 +131,21 @@ def qjl_bits(spark, d):
     return quantiser.compress(table(spark, d, "embeddings")).select("vec_id", F.hex("pq_angles").alias("angles"), F.hex("qjl_bits").alias("bits"), F.round("final_radius", 6).alias("radius"))
 
 
+@query()
+def quant_batch_topk(spark, d):
+    """The compressed search for every query row: what is stored is decoded and met by blocks of queries."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.batch_top_k(queries, quantiser.decompress(quantiser.compress(e)), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def quant_recall(spark, d):
+    """Share of the exact ten nearest that the compressed search finds, per query row."""
+    exact, found = vec_batch_topk(spark, d).select("query_id", "vec_id"), quant_batch_topk(spark, d).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+
+
 # scalar text functions
 
 _DOC = "SELECT doc_id, {x} FROM documents"
@@ -151,9 +169,9 @@ def token_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.truncate_to_budget(F.col("text"), 100).alias("content"), T.was_truncated(F.col("text"), 100).alias("truncated"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text[1:60]), '[^0-9A-Za-z_\t\n\f\r\x0b -]', '', 'g'), '[\t\n\f\r\x0b ]+', '-', 'g')[1:80] AS slug FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^0-9A-Za-z_\t\n\f\r\x0b -]', '', 'g'), '[\t\n\f\r\x0b ]+', '-', 'g')[1:80] AS slug FROM documents")
 def title_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(concat_ws(' ', p_type, p_name, p_brand), '\s+', ' ', 'g')) AS embedding_text FROM part")
@@ -474,3 +492,93 @@ def context_bundle(spark, d):
     refs = structure.references(docs, QUERY_TEXT, "doc_id", "text", 10)
     refs = refs.select(F.lit("reference").alias("part"), "doc_id", F.row_number().over(Window.orderBy("doc_id", "line")).cast("long").alias("seq"), F.col("context").alias("detail"), null)
     return target.union(near).union(refs)
+
+
+# the tools, over an index of the documents as Markdown files
+
+_FILE = "'docs/' || doc_id || '.md'"
+_PLACE = f"SELECT *, {_FILE} AS file, {_MD} AS md FROM documents"
+_SLUG = lambda x: rf"regexp_replace(regexp_replace(lower({x}), '[^0-9A-Za-z_\t\n\f\r\x0b -]', '', 'g'), '[\t\n\f\r\x0b ]+', '-', 'g')[1:80]"
+
+
+def _project(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text").alias("content"))
+
+
+def _engine(spark, d, provider=None) -> Engine:
+    engine = Engine(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", provider)
+    engine.index(_project(spark, d))
+    return engine
+
+
+def _counters(spark, runs: list[dict]) -> DataFrame:
+    names = ["indexed", "skipped", "pruned", "symbols", "sections", "vectors"]
+    return spark.createDataFrame([(k, *[r[n] for n in names]) for k, r in enumerate(runs)], "run long, " + ", ".join(f"{n} long" for n in names))
+
+
+@query("""SELECT 0::BIGINT AS run, count(*) AS indexed, 0::BIGINT AS skipped, 0::BIGINT AS pruned, 0::BIGINT AS symbols, 2 * count(*) AS sections, 0::BIGINT AS vectors FROM documents
+UNION ALL SELECT 1, 0, count(*), 0, 0, 0, 0 FROM documents
+UNION ALL SELECT 2, count(*) FILTER (doc_id % 10 = 0 AND doc_id % 7 <> 0), count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 7 <> 0), count(*) FILTER (doc_id % 7 = 0), 0, 2 * count(*) FILTER (doc_id % 10 = 0 AND doc_id % 7 <> 0), 0 FROM documents""")
+def engine_index(spark, d):
+    """Counters of a first run, of one without a change, and of one with changed and missing files."""
+    engine, source = Engine(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"), _project(spark, d)
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    later = source.where(number % 7 != 0).select("path", F.when(number % 10 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")).alias("content"))
+    return _counters(spark, [engine.index(source), engine.index(source), engine.index(later, prune=True)])
+
+
+@query("SELECT count(*) AS total_files, 0::BIGINT AS total_symbols, 2 * count(*) AS total_sections, 0::BIGINT AS total_vectors, 0::BIGINT AS storage_bytes, 'N/A' AS compression_ratio, 0::INT AS coverage_pct, 'unloaded' AS embedding_state FROM documents")
+def engine_status(spark, d):
+    return _engine(spark, d).status().select("total_files", "total_symbols", "total_sections", "total_vectors", "storage_bytes", "compression_ratio", "coverage_pct", "embedding_state")
+
+
+_CUT_GET = "(CASE WHEN instr(h, chr(10)) > 0 AND 8000 - instr(reverse(h), chr(10)) > 6400 THEN h[1 : 8000 - instr(reverse(h), chr(10))] ELSE h END) || chr(10) || '... [truncated]'"
+
+
+@query(f"""SELECT id, 'section' AS type, content, CAST(ceil(length(content) / 4.0) AS INT) AS tokens, truncated FROM (
+SELECT id, CASE WHEN length(body) <= 8000 THEN body ELSE {_CUT_GET} END AS content, length(body) > 8000 AS truncated FROM (
+SELECT file || '::' || {_SLUG('lang')} || '#2' AS id, '## ' || lang || chr(10) || chr(10) || text AS body, body[1:8000] AS h FROM ({_PLACE}) WHERE doc_id = 3))""")
+def engine_get(spark, d):
+    engine = _engine(spark, d)
+    lang = table(spark, d, "documents").where("doc_id = 3").select(T.slugify(F.col("lang"))).first()[0]
+    return engine.get(f"docs/3.md::{lang}#2").select("id", "type", "content", "tokens", "truncated")
+
+
+@query(f"""SELECT *, count(*) OVER () AS total_sections FROM (
+SELECT file || '::' || {_SLUG('source')} || '#1' AS id, source AS name, 'h1' AS kind, 0::INT AS char_start FROM ({_PLACE}) WHERE doc_id = 3
+UNION ALL SELECT file || '::' || {_SLUG('lang')} || '#2', lang, 'h2', CAST(length(source) + 4 AS INT) FROM ({_PLACE}) WHERE doc_id = 3)""")
+def engine_outline(spark, d):
+    engine = _engine(spark, d)
+    rows = engine.outline("docs/3.md").select("id", "name", "kind", "char_start")
+    return rows.crossJoin(F.broadcast(engine.outline_totals("docs/3.md").select("total_sections")))
+
+
+_MD_LINES = f"SELECT file, CAST(i AS INT) AS line, l[i] AS content FROM (SELECT file, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT file, string_split(md, chr(10)) AS l FROM ({_PLACE})))"
+_MD_REFS = rf"SELECT file, line, regexp_replace(content, '^\s+|\s+$', '', 'g')[1:200] AS context FROM ({_MD_LINES}) WHERE contains(content, '{{name}}')"
+
+
+@query(f"{_MD_REFS.format(name=QUERY_TEXT)} ORDER BY file, line LIMIT 20")
+def engine_references(spark, d):
+    return _engine(spark, d).references(QUERY_TEXT)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS name, * FROM ({_MD_REFS.format(name=n)}) ORDER BY file, line LIMIT 20)" for n in ("the", "tion", "# en")))
+def references_many(spark, d):
+    names = spark.createDataFrame([("the",), ("tion",), ("# en",), ("",), (None,), ("the",)], "name string")
+    return structure.references_of(_project(spark, d), names, "path", "content").withColumnRenamed("path", "file")
+
+
+@query()
+def engine_search(spark, d):
+    """Hybrid search over the sections, with hashed embeddings."""
+    return _engine(spark, d, HashingProvider(64)).search("en", limit=10).select("rank", "id", "type", "name", "kind", "strategy")
+
+
+@query()
+def engine_context(spark, d):
+    """The bundle of a section, and its totals."""
+    engine = _engine(spark, d, HashingProvider(64))
+    lang = table(spark, d, "documents").where("doc_id = 3").select(T.slugify(F.col("lang"))).first()[0]
+    bundle = engine.context(f"docs/3.md::{lang}#2")
+    return bundle.crossJoin(F.broadcast(engine.context_totals(bundle))).select("part", "seq", "id", "name", F.round("similarity", 2).alias("similarity"), F.round("total_tokens", 4).alias("total_tokens"))

@@ -43,6 +43,19 @@ def _signature(text: str) -> str:
     return text[:200].strip()
 
 
+def _doc_comment(node: ast.AST, before: str) -> str | None:
+    """The docstring, or else the comment lines that stand right above; 500 characters."""
+    told = ast.get_docstring(node)
+    if not told:
+        above = []
+        for line in reversed(before.rstrip(" \t").split("\n")[:-1]):
+            if not line.strip().startswith("#"):
+                break
+            above.append(line.strip().lstrip("#").strip())
+        told = "\n".join(reversed(above))
+    return told[:500] or None
+
+
 def by_python_tree(content: str) -> list[dict]:
     """Functions and classes in source order; members of a class are qualified by its name, what stands inside a function by the class around that."""
     raw = content.encode()
@@ -57,7 +70,7 @@ def by_python_tree(content: str) -> list[dict]:
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             is_class = isinstance(node, ast.ClassDef)
             s, e = place(node.lineno, node.col_offset), place(node.end_lineno, node.end_col_offset)
-            out.append({"name": node.name, "qualified_name": f"{parent}.{node.name}" if parent else node.name, "kind": "class" if is_class else "function", "signature": _signature(content[s:e]), "parent_name": parent, "doc_comment": None, "line_start": node.lineno, "line_end": node.end_lineno, "char_start": s, "char_end": e})
+            out.append({"name": node.name, "qualified_name": f"{parent}.{node.name}" if parent else node.name, "kind": "class" if is_class else "function", "signature": _signature(content[s:e]), "parent_name": parent, "doc_comment": _doc_comment(node, content[:s]), "line_start": node.lineno, "line_end": node.end_lineno, "char_start": s, "char_end": e})
             inner = node.name if is_class else parent
         todo += [(child, inner) for child in reversed(list(ast.iter_child_nodes(node)))]
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import content_hash
+
 # The lists that decide what is indexed.
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx", ".py": "python", ".rs": "rust", ".go": "go", ".java": "java", ".rb": "ruby",
@@ -47,7 +49,7 @@ def classified(files: DataFrame) -> DataFrame:
     """(path, content) -> path, content, hash, size, language (null for documents), is_doc; ignored and unknown files are left out."""
     rows = files.where(~is_ignored(F.col("path"))).withColumn("language", language_of(F.col("path"))).withColumn("is_doc", is_doc(F.col("path")))
     rows = rows.where(F.col("language").isNotNull() | F.col("is_doc"))
-    return rows.select("path", "content", F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16).alias("hash"), F.octet_length("content").cast("long").alias("size"), "language", "is_doc")
+    return rows.select("path", "content", content_hash(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("size"), "language", "is_doc")
 
 
 def read_directory(spark: SparkSession, root: str, subdirectory: str = "") -> DataFrame:

@@ -1,19 +1,24 @@
-"""Versioned snapshots of the index: each run writes a whole new directory and then flips a pointer, so a reader sees either state."""
+"""Versioned snapshots of the index: each run writes a whole new directory and then flips a pointer, so a reader sees either state.
+
+Pointers are numbered files, written under another name and renamed; the greatest counts, and none is ever replaced. Snapshots of an older schema
+are read with the columns they lack as null; a newer schema is refused.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 TABLES = {
     "files": "path string, content string, hash string, size long, language string, is_doc boolean, indexed_at timestamp",
     "symbols": "id string, file_path string, name string, qualified_name string, kind string, language string, signature string, line_start int, line_end int, char_start int, char_end int, parent_id string, doc_comment string, seq int",
     "sections": "id string, file_path string, title string, level int, parent_id string, byte_start int, byte_end int, char_start int, char_end int, summary string, seq int",
-    "search_docs": "entity_id string, entity_type string, file_path string, name string, content string",
+    "search_docs": "entity_id string, entity_type string, file_path string, name string, content string, t_entity_id array<string>, t_entity_type array<string>, t_name array<string>, t_content array<string>",
     "vectors": "entity_id string, entity_type string, file_path string, embedding_text string, final_radius double, pq_angles binary, qjl_bits binary, pq_dimensions int, qjl_projected_dimensions int, model_id string",
 }
 
@@ -28,19 +33,27 @@ class SnapshotStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs(self.folder)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[len("current-") : -len(".json")]) for n in names if re.fullmatch(r"current-\d+\.json", n))
+
     def _pointer(self) -> dict | None:
-        fs, p = self._fs(f"{self.folder}/current.json")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/current.json").first()[0])
+        found = self._numbers()
+        return json.loads(self.spark.read.text(f"{self.folder}/current-{found[-1]}.json").first()[0]) if found else None
 
     @property
     def version(self) -> str | None:
         found = self._pointer()
-        if found and found["schema_version"] != SCHEMA_VERSION:
-            return None  # another schema: everything is indexed anew
+        if found and found["schema_version"] > SCHEMA_VERSION:
+            raise ValueError(f"the index has schema {found['schema_version']}, this code reads up to {SCHEMA_VERSION}")
         return found and found["snapshot"]
 
+    @property
+    def schema_version(self) -> int:
+        found = self._pointer()
+        return found["schema_version"] if found else SCHEMA_VERSION
+
     def read(self, table: str) -> DataFrame:
         at = self.version
         if at is None:
@@ -55,7 +68,10 @@ class SnapshotStore:
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps({"snapshot": at, "schema_version": SCHEMA_VERSION}).encode()))
         out.close()
-        _, final = self._fs(f"{self.folder}/current.json")
-        fs.delete(final, False)
-        fs.rename(tmp, final)
+        known = self._numbers()
+        _, final = self._fs(f"{self.folder}/current-{(known or [0])[-1] + 1}.json")
+        if not fs.rename(tmp, final):
+            raise RuntimeError(f"another run has written {final}")
+        for old in known[:-1]:  # the one before stays, for readers that have just read it
+            fs.delete(self._fs(f"{self.folder}/current-{old}.json")[1], False)
         return at

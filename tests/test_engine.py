@@ -121,6 +121,7 @@ def test_batch_top_k_equals_exact(spark):
 def test_engine_end_to_end(spark, project, tmp_path):
     e = Engine(spark, f"{tmp_path}/index", HashingProvider(64), correction=False)
     first = e.index(f"file://{project}")
+    assert first.pop("duration_ms") > 0
     assert first == {"indexed": 3, "skipped": 0, "pruned": 0, "symbols": 6, "sections": 3, "vectors": 9}
     assert e.index(f"file://{project}")["indexed"] == 0 and e.index(f"file://{project}", force=True)["indexed"] == 3
     s = e.status().first()
@@ -170,3 +171,64 @@ def test_path_rules(spark):
     got = {r.p: (r.i, r.e, r.l, r.d) for r in df.select("p", files.is_ignored(F.col("p")).alias("i"), files.extension(F.col("p")).alias("e"), files.language_of(F.col("p")).alias("l"), files.is_doc(F.col("p")).alias("d")).collect()}
     assert got["a/b.ts"] == (False, ".ts", "typescript", False) and got[".hidden/x.py"][0] and got["dist/x.py"][0] and got["a/yarn.lock"][0]
     assert got["README"][1] == "E" and got["a.b/c"][1] == ".b/c" and not got["x.MD"][3] and got["y.mdx"][3]
+
+
+def test_forests_of_any_depth_and_cycles(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(300)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "gone"), ("r", None)]
+    got = {r.id: r for r in structure.tree_depth(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    assert {k: v.depth for k, v in got.items()} == {f"n{i}": i for i in range(300)} | {"r": 0}
+    assert got["n299"].path == [f"n{i}" for i in range(300)] and got["r"].path == ["r"]
+    assert structure.tree_depth(spark.createDataFrame([], "id string, parent_id string")).count() == 0
+
+
+def test_references_of_many_names_in_blocks(spark):
+    docs = spark.createDataFrame([("a", "one two\n  two\nthree"), ("b", "two"), ("c", None)], "path string, content string")
+    names = spark.createDataFrame([("two",), ("three",), ("none",), ("",), (None,)], "name string")
+    for block in (1000, 1):
+        got = sorted(map(tuple, structure.references_of(docs, names, "path", "content", 2, block).collect()))
+        assert got == [("three", "a", 3, "three"), ("two", "a", 1, "one two"), ("two", "a", 2, "two")]
+    assert structure.references_of(docs, names.limit(0), "path", "content").count() == 0
+
+
+def test_doc_comments_of_python():
+    from lodeseek.sources.code import by_python_tree
+
+    text = 'x = 1\n# opens\n# a pool\ndef open_pool():\n    pass\n\n\nclass A:\n    """Docs."""\n\n    # not told\n\n    def f(self):\n        pass\n'
+    assert [(s["name"], s["doc_comment"]) for s in by_python_tree(text)] == [("open_pool", "opens\na pool"), ("A", "Docs."), ("f", None)]
+
+
+def test_vectors_from_a_table(spark, project, tmp_path):
+    from lodeseek.functions.embedding import VectorTableProvider
+
+    rows = [("login", [1.0, 0.0, 0.5, 0.1]), ("function login def login(self, user):", [1.0, 0.0, 0.4, 0.1]), ("class Auth class Auth:", [0.0, 1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    e = Engine(spark, f"{tmp_path}/index", VectorTableProvider(spark.createDataFrame(rows, "text string, embedding array<float>")))
+    assert e.index(f"file://{project}")["vectors"] == 2
+    s = e.status().first()
+    assert (s.embedding_state, s.dimensions, s.total_vectors) == ("ready", 4, 2)
+    assert e.search("login").first().strategy == "hybrid" and e.search("Auth").first().strategy != "hybrid"
+
+
+def test_snapshots_survive_versions_and_races(spark, tmp_path):
+    import json
+    import os
+
+    e = Engine(spark, f"{tmp_path}/index")
+    docs = lambda n: spark.createDataFrame([(f"a{i}.md", f"# Running {i}\n") for i in range(n)], "path string, content string")
+    for n in (1, 2, 3):
+        e.index(docs(n))
+    assert len([f for f in os.listdir(f"{tmp_path}/index") if f.startswith("current-") and f.endswith(".json")]) == 2
+    last = max(f for f in os.listdir(f"{tmp_path}/index") if f.startswith("current-") and f.endswith(".json"))
+    path, at = f"{tmp_path}/index/{last}", json.load(open(f"{tmp_path}/index/{last}"))
+    os.remove(f"{tmp_path}/index/.{last}.crc")
+    # a snapshot of the schema before, without stems
+    folder = f"{tmp_path}/index/{at['snapshot']}/search_docs"
+    spark.read.parquet(folder).drop("t_entity_id", "t_entity_type", "t_name", "t_content").write.parquet(f"{tmp_path}/old")
+    os.rename(folder, f"{tmp_path}/new")
+    os.rename(f"{tmp_path}/old", folder)
+    json.dump(at | {"schema_version": 3}, open(path, "w"))
+    assert e.search("runs").count() == 3 and e.index(docs(4))["indexed"] == 1 and e.search("runs").count() == 4
+    last = max(f for f in os.listdir(f"{tmp_path}/index") if f.startswith("current-") and f.endswith(".json"))
+    os.remove(f"{tmp_path}/index/.{last}.crc")
+    json.dump(at | {"schema_version": 99}, open(f"{tmp_path}/index/{last}", "w"))
+    with pytest.raises(ValueError, match="schema 99"):
+        e.status()
