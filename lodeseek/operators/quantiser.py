@@ -151,11 +151,14 @@ def decompress(compressed: DataFrame, id_col: str = "vec_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, dims = batch.column("i"), batch.column("pq_dimensions").to_pylist()
-            out = []
-            for r, a, d in zip(batch.column("final_radius").to_pylist(), batch.column("pq_angles").to_pylist(), dims, strict=True):
-                out.append(polar_decode(np.array([r]), unpack_rows(np.frombuffer(a, np.uint8)[None], num_angles(d), 4), d)[0])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.float32()))], names=[id_col, "embedding"])
+            dims = batch.column("pq_dimensions").to_numpy(zero_copy_only=False)
+            radius, packed = batch.column("final_radius").to_numpy(zero_copy_only=False), batch.column("pq_angles").to_pylist()
+            for d in np.unique(dims).tolist():  # vectors of a length are decoded together
+                of = np.flatnonzero(dims == d)
+                codes = unpack_rows(np.stack([np.frombuffer(packed[i], np.uint8) for i in of]), num_angles(d), 4)
+                rows = polar_decode(radius[of], codes, d)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel(), pa.float32()), d).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(of)), vectors], names=[id_col, "embedding"])
 
     kind = dict(compressed.dtypes)[id_col]
     return compressed.select(F.col(id_col).alias("i"), "final_radius", "pq_angles", "pq_dimensions").mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")

@@ -225,9 +225,8 @@ class Engine:
             same = ents.where((F.col("file_path") == row["metadata"].get("file")) & (F.col("type") == "symbol") & (F.col("id") != id_))
             children = children.unionByName(same.join(children.select("id"), "id", "left_anti").select("*", F.lit(1).alias("group")))
         order = Window.orderBy("group", "line_start", "char_start", "id")
-        before = F.coalesce(F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         # prefix sums don't fall, so each group is a prefix of its own; siblings are counted after the children that were taken
-        kin = children.withColumn("before", before).where(F.col("before") <= F.when(F.col("group") == 0, F.lit(float(related))).otherwise(F.lit(related * 0.7)))
+        kin = structure.within_budget(children, [], ["group", "line_start", "char_start", "id"], "cost", related, to="before").where((F.col("group") == 0) | (F.col("before") <= related * 0.7))
         kin = kin.select(F.when(F.col("group") == 0, "child").otherwise("sibling").alias("part"), F.row_number().over(order).alias("seq"), "id", "name", F.col("file_path").alias("file"), F.col("signature").alias("detail"), no_sim, F.col("cost").alias("tokens")).cache()
         parts.append(kin)
         used = kin.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
@@ -237,7 +236,7 @@ class Engine:
             near = self._semantic(vector, "all", 10, exclude=id_).where("score > 0.5").join(kin.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
             rows = F.broadcast(near).join(ents, near.entity_id == ents.id)
             by = Window.orderBy(F.col("score").desc(), "id")
-            rows = rows.withColumn("before", F.coalesce(F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + used).where(F.col("before") <= related)
+            rows = structure.within_budget(rows, [], [F.col("score").desc(), "id"], "cost", related - used, to="before")
             parts.append(rows.select(F.lit("semantic_neighbor").alias("part"), F.row_number().over(by).alias("seq"), "id", "name", F.col("file_path").alias("file"), F.col("signature").alias("detail"), round_half_up(F.col("score"), 2).alias("similarity"), F.col("cost").alias("tokens")))
         if include_references and row["type"] == "symbol" and row["metadata"].get("name"):
             refs = self.references(row["metadata"]["name"], 10)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -25,15 +26,21 @@ SCHEMA = "path string, seq int, language string, name string, qualified_name str
 Parser = Callable[[str], list[dict]]
 
 
+def _positions(pattern: str, content: str) -> list[int]:
+    return [m.start() for m in re.finditer(pattern, content)]
+
+
 def by_patterns(content: str) -> list[dict]:
-    """Pattern by pattern, not by position; a symbol reaches to the next blank line or the end."""
-    out = []
-    for pattern in PATTERNS:
-        for m in re.finditer(pattern, content, re.M | re.A):
-            end = content.find("\n\n", m.start())
-            end = end if end > 0 else len(content)
-            out.append({"name": m[1], "qualified_name": m[1], "kind": "function", "signature": m[0].strip()[:200], "parent_name": None, "doc_comment": None, "line_start": content.count("\n", 0, m.start()) + 1, "line_end": content.count("\n", 0, end) + 1, "char_start": m.start(), "char_end": end})
-    return out
+    """Declarations in the order of the patterns, then of their places; each reaches to the next blank line or the end of the text.
+
+    Line ends and blank lines are found once; lines and ends of the declarations are looked up in them."""
+    line_ends, blank = _positions("\n", content), _positions("(?=\n\n)", content) + [len(content)]
+    line_at = lambda place: bisect_left(line_ends, place) + 1
+    rows = pd.DataFrame([(m.start(), m[1], m[0]) for p in PATTERNS for m in re.finditer(p, content, re.M | re.A)], columns=["char_start", "name", "signature"])
+    rows["char_end"] = [blank[bisect_left(blank, s)] for s in rows.char_start]
+    rows["line_start"], rows["line_end"] = rows.char_start.map(line_at), rows.char_end.map(line_at)
+    rows["signature"] = rows.signature.str.strip().str.slice(0, 200)
+    return rows.assign(qualified_name=rows.name, kind="function", parent_name=None, doc_comment=None).to_dict("records")
 
 
 def _signature(text: str) -> str:
