@@ -51,12 +51,50 @@ def bm25(docs: DataFrame, token_columns: list[str], query_phrases: list[list[str
     counted = docs.select(*docs.columns, length.alias("__len"), *[x.alias(f"__tf{i}") for i, x in enumerate(tf)])
     stats = counted.agg(F.count("*").cast("double").alias("__n"), F.avg("__len").alias("__mean"), *[F.sum(F.when(F.col(f"__tf{i}") > 0, 1).otherwise(0)).cast("double").alias(f"__df{i}") for i in range(len(tf))])
     joined = counted.crossJoin(F.broadcast(stats)).where(reduce(lambda a, b: a | b, [F.col(f"__tf{i}") > 0 for i in range(len(tf))]))
+    return joined.withColumn(to, _score(len(tf))).select(*docs.columns, to)
+
+
+def _score(n_phrases: int) -> Column:
+    """The sum over phrases, from columns __tf0.., __df0.., __len, __n and __mean."""
     total = F.lit(0.0)
-    for i in range(len(tf)):
+    for i in range(n_phrases):
         f, n = F.col(f"__tf{i}"), F.col(f"__df{i}")
         idf = F.ln((F.col("__n") - n + 0.5) / (n + 0.5))
         total = total + F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__mean")))
-    return joined.withColumn(to, total).select(*docs.columns, to)
+    return total
+
+
+def occurrences(docs: DataFrame, token_columns: list[str], keep: list[str], length: str = "length") -> DataFrame:
+    """The search index: one row (term, pos, *keep) a word. Between columns a position stays empty, so that no phrase runs over their border."""
+    gap = F.array(F.lit(None).cast("string"))
+    spaced = F.concat(*[x for c in token_columns for x in (F.coalesce(F.col(c), F.array().cast("array<string>")), gap)])
+    return docs.select(*keep, length, F.posexplode(spaced).alias("pos", "term")).where("term IS NOT NULL")
+
+
+def bm25_indexed(postings: DataFrame, stats: DataFrame, query_phrases: list[list[str]], keys: list[str], length: str = "length", to: str = "score") -> DataFrame:
+    """(*keys, score) as bm25 gives it, from `occurrences` and (docs, words) totals: only the rows of the query's terms are read.
+
+    A word filter is an equality or a prefix on `term`, so it reaches the scan, and files sorted by term skip all other row groups. A
+    phrase occurs where all its words give the same start. Hot terms are no hot keys: rows are dealt by document.
+    """
+    if not query_phrases:
+        return postings.select(*keys, F.lit(0.0).alias(to)).where(F.lit(False))
+    hit = lambda p, j: F.startswith(F.col("term"), F.lit(p[j])) if j == len(p) - 1 else F.col("term") == F.lit(p[j])
+    words = [hit(p, j) for p in query_phrases for j in range(len(p))]
+    rows = postings.where(reduce(lambda a, b: a | b, words))
+    group = [*keys, length]
+    if all(len(p) == 1 for p in query_phrases):
+        found, of = rows, [hit(p, 0) for p in query_phrases]
+    else:
+        places = F.array(*[F.when(hit(p, j), F.struct(F.lit(i).alias("i"), (F.col("pos") - j).alias("start"))) for i, p in enumerate(query_phrases) for j in range(len(p))])
+        found = rows.repartition(*keys).select(*group, F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x")).select(*group, "x.i", "x.start")
+        found = found.groupBy(*group, "i", "start").agg(F.count("*").alias("w"))
+        found = found.where(F.col("w") == F.element_at(F.array(*[F.lit(len(p)) for p in query_phrases]), F.col("i") + 1))
+        of = [F.col("i") == i for i in range(len(query_phrases))]
+    counted = found.groupBy(*group).agg(*[F.count(F.when(x, 1)).alias(f"__tf{i}") for i, x in enumerate(of)]).withColumnRenamed(length, "__len")
+    df = counted.agg(*[F.count(F.when(F.col(f"__tf{i}") > 0, 1)).cast("double").alias(f"__df{i}") for i in range(len(of))])
+    total = stats.agg(F.sum("docs").cast("double").alias("__n"), (F.sum("words") / F.sum("docs")).alias("__mean"))
+    return counted.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(total)).select(*keys, _score(len(of)).alias(to))
 
 
 def overlapping_count(x: Column, needle: str) -> Column:

@@ -14,7 +14,7 @@ from ..functions.stemming import stemmed_tokens
 from ..functions.text import estimate_tokens, round_half_up, squeeze, symbol_content, truncate_to_budget, was_truncated
 from ..operators import fusion, keyword, quantiser, store, structure
 from ..sources import code, files, markdown
-from ..sources.snapshot import TABLES, SnapshotStore
+from ..sources.snapshot import PARTED, TABLES, SnapshotStore, columns, part_of
 
 #: Columns of the keyword index, and of their stems.
 INDEXED = ["entity_id", "entity_type", "name", "content"]
@@ -27,19 +27,25 @@ def warehouse_of(root: str, base: str) -> str:
     return f"{base.rstrip('/')}/{os.path.basename(root.rstrip('/'))}-{hashlib.sha256(root.encode()).hexdigest()[:16]}"
 
 
-def _tokenised(docs: DataFrame, missing: bool = False) -> DataFrame:
-    """Keyword rows with the stems of their columns; with missing, only rows of an older schema, which have none, are stemmed."""
-    if not missing:
-        return docs.select("*", *[stemmed_tokens(F.col(c)).alias(f"t_{c}") for c in INDEXED])
-    old = docs.where("t_content IS NULL").drop(*STEMS)
-    return docs.where("t_content IS NOT NULL").unionByName(_tokenised(old))
+def _tokenised(docs: DataFrame) -> DataFrame:
+    """Keyword rows with the stems of their columns and how many there are."""
+    stems = docs.select(*[c for c in docs.columns if c != "length"], *[stemmed_tokens(F.col(c)).alias(f"t_{c}") for c in INDEXED])
+    return stems.withColumn("length", sum((F.size(c) for c in STEMS), F.lit(0)))
+
+
+def _postings(tokenised: DataFrame) -> DataFrame:
+    return keyword.occurrences(tokenised, STEMS, ["entity_id", "entity_type", "file_path"]).select(*columns("postings"))
+
+
+def _totals(docs: DataFrame, *keys: str) -> DataFrame:
+    return docs.groupBy(*keys, "entity_type").agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
 
 
 class Engine:
     """faithful=True filters types after the keyword limit, as the defaults define it; False filters before, so that results fill up."""
 
-    def __init__(self, spark: SparkSession, folder: str, provider: EmbeddingProvider | None = None, faithful: bool = True, correction: bool = True):
-        self.spark, self.store, self.provider = spark, SnapshotStore(spark, folder), provider or NoProvider()
+    def __init__(self, spark: SparkSession, folder: str, provider: EmbeddingProvider | None = None, faithful: bool = True, correction: bool = True, parts: int | None = None):
+        self.spark, self.store, self.provider = spark, SnapshotStore(spark, folder, parts), provider or NoProvider()
         self.faithful, self.correction, self._cached = faithful, correction, (None, None)
 
     # index
@@ -51,7 +57,7 @@ class Engine:
         listed = files.read_directory(self.spark, source, subdirectory) if isinstance(source, str) else files.classified(source)
         stored = self.store.read("files")
         fresh = store.changed(listed, stored, force=force).withColumn("indexed_at", F.current_timestamp()).cache()
-        n_new, n_all = fresh.count(), listed.count()
+        (n_new, size), n_all = fresh.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first(), listed.count()
         gone = stored.select("path").join(listed.select("path"), "path", "left_anti") if prune else None
         n_gone = gone.count() if prune else 0
         counts = {"indexed": n_new, "skipped": n_all - n_new, "pruned": n_gone, "symbols": 0, "sections": 0, "vectors": 0}
@@ -60,27 +66,39 @@ class Engine:
         symbols = code.as_entities(code.parse_symbols(fresh.where(~F.col("is_doc"))))
         sections = markdown.as_entities(markdown.parse_sections(fresh.where("is_doc")))
         symbols, sections = symbols.cache(), sections.cache()
-        docs = symbols.select(F.col("id").alias("entity_id"), F.lit("symbol").alias("entity_type"), "file_path", "name", symbol_content(F.col("name"), F.col("qualified_name"), F.col("kind"), F.col("signature"), F.col("doc_comment")).alias("content"))
-        docs = docs.unionByName(sections.select(F.col("id").alias("entity_id"), F.lit("section").alias("entity_type"), "file_path", F.col("title").alias("name"), F.concat_ws(" ", "title", "summary").alias("content")))
+        docs = symbols.select(F.col("id").alias("entity_id"), F.lit("symbol").alias("entity_type"), "file_path", "seq", "name", symbol_content(F.col("name"), F.col("qualified_name"), F.col("kind"), F.col("signature"), F.col("doc_comment")).alias("content"))
+        docs = docs.unionByName(sections.select(F.col("id").alias("entity_id"), F.lit("section").alias("entity_type"), "file_path", "seq", F.col("title").alias("name"), F.concat_ws(" ", "title", "summary").alias("content")))
         texts = symbols.select(F.col("id").alias("entity_id"), F.lit("symbol").alias("entity_type"), "file_path", "seq", squeeze(F.col("kind"), F.col("name"), F.col("signature"), F.col("doc_comment")).alias("embedding_text"))
         texts = texts.unionByName(sections.select(F.col("id").alias("entity_id"), F.lit("section").alias("entity_type"), "file_path", "seq", squeeze(F.col("title"), F.col("summary")).alias("embedding_text")))
         vectors = self._vectors(store.last_wins(texts, ["entity_id"], "seq"))
         touched = fresh.select(F.col("path").alias("file_path"))
         touched = touched.union(gone.select("path")) if prune else touched
-        keep = lambda name, key="file_path": store.delete_where(self.store.read(name), touched.withColumnRenamed("file_path", key), [key])
+        n_parts, whole = self.store.parts_for(size)
+        # at most n_parts numbers; all else stays where it is
+        changed = None if whole else [r[0] for r in touched.select(part_of(F.col("file_path"), n_parts).alias("part")).distinct().collect()]
+        keep = lambda name, key="file_path": store.delete_where(self.store.read(name, changed), touched.withColumnRenamed("file_path", key), [key])
         new_symbols, new_sections = store.last_wins(symbols, ["id"], "seq"), store.last_wins(sections, ["id"], "seq")
+        # repeated ids of a file are one keyword row, so that a hit isn't counted twice
+        docs = store.last_wins(docs, ["entity_id"], "seq").drop("seq")
+        kept = keep("search_docs")
+        if self.store.schema_version < PARTED:  # nothing is stemmed yet
+            docs, kept = docs.unionByName(kept.drop("length")), kept.limit(0)
+        docs = _tokenised(docs).cache()
+        postings = _postings(docs) if whole else keep("postings").unionByName(_postings(docs))
+        all_docs = kept.unionByName(docs.select(*kept.columns))
         merged = {
             "files": keep("files", "path").unionByName(fresh),
             "symbols": keep("symbols").unionByName(new_symbols),
             "sections": keep("sections").unionByName(new_sections),
-            # repeated ids of a file are one keyword row, so that a hit isn't counted twice
-            "search_docs": _tokenised(keep("search_docs"), missing=True).unionByName(_tokenised(docs.dropDuplicates(["entity_id"]))),
+            "search_docs": all_docs,
+            "postings": postings,
+            "stats": _totals(all_docs.withColumn("part", part_of(F.col("file_path"), n_parts)), "part"),
             "vectors": keep("vectors").unionByName(vectors),
         }
         counts |= {"symbols": new_symbols.count(), "sections": new_sections.count()}
-        self.store.write(merged)
-        counts["vectors"] = self.store.read("vectors").join(touched.distinct(), "file_path", "left_semi").count()
-        for df in (fresh, symbols, sections):
+        self.store.write(merged, n_parts, changed)
+        counts["vectors"] = self.store.read("vectors", changed).join(touched.distinct(), "file_path", "left_semi").count()
+        for df in (fresh, symbols, sections, docs):
             df.unpersist()
         return counts | took()
 
@@ -104,21 +122,22 @@ class Engine:
 
     def _keyword(self, query: str, type_: str, limit: int, fuzzy: bool) -> DataFrame:
         docs = self.store.read("search_docs")
-        if self.store.schema_version < 4:
-            docs = _tokenised(docs.drop(*STEMS))
-        of_type = lambda df: df if type_ == "all" else df.where(F.col("entity_type") == type_)
-        if '"' in query:  # not a query that the index can read: nothing matches, so the substring search opens
-            fts = docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
+        if self.store.schema_version >= PARTED:
+            postings, stats = self.store.read("postings"), self.store.read("stats")
         else:
-            base = docs if self.faithful else of_type(docs)
-            # stems were stored with the snapshot: a query reads them and runs no Python
-            fts = keyword.bm25(base.select("entity_id", "entity_type", "name", *STEMS), STEMS, keyword.phrases(query, stemmed=True))
-            fts = of_type(fts.orderBy(F.col("score").desc(), "entity_id").limit(2 * limit))
-        rows = fts.select("entity_id", "entity_type", "name", "score")
+            stems = _tokenised(docs)
+            postings, stats = _postings(stems), _totals(stems)
+        of_type = lambda df: df if type_ == "all" else df.where(F.col("entity_type") == type_)
+        if not self.faithful:
+            postings, stats = of_type(postings), of_type(stats)
+        # a query with a double quote isn't one that the index can read: nothing matches, so the substring search opens
+        wanted = [] if '"' in query else keyword.phrases(query, stemmed=True)
+        fts = keyword.bm25_indexed(postings, stats, wanted, ["entity_id", "entity_type"])
+        fts = of_type(fts.orderBy(F.col("score").desc(), "entity_id").limit(2 * limit))
         tri = docs.where(F.lit('"' not in query)).select("entity_id", "entity_type", "name")
         tri = keyword.trigram_search(tri, ["entity_id", "name"], query)
         tri = of_type(tri.orderBy(F.col("score").desc(), "entity_id").limit(limit))
-        return keyword.with_fallback(rows, tri, "entity_id", limit, fuzzy)
+        return keyword.with_fallback(fts, tri.drop("name"), "entity_id", limit, fuzzy)
 
     def _semantic(self, vector: list[float], type_: str, k: int, exclude: str | None = None) -> DataFrame:
         at = self.store.version

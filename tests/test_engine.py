@@ -3,6 +3,7 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.functions.embedding import HashingProvider
@@ -46,11 +47,16 @@ def test_bm25_equals_sqlite(spark):
 
     docs = spark.createDataFrame(CORPUS, COLUMNS)
     docs = docs.select("entity_id", *[stemmed_tokens(c).alias(f"t_{c}") for c in COLUMNS]).cache()
-    for q in ["user", "symbol", "src", "format", "formats", "get user", "naive", "cafe", "case", "auth.ts", "getUser", "none", "?"]:
+    stems = [f"t_{c}" for c in COLUMNS]
+    lengths = docs.withColumn("length", sum(F.size(c) for c in stems))
+    postings, stats = keyword.occurrences(lengths, stems, ["entity_id"]).cache(), lengths.agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
+    for q in ["user", "symbol", "src", "format", "formats", "get user", "naive", "cafe", "case", "auth.ts", "getUser", "none", "?", "user.function", "function.function", "setup.setup", "symbol.get"]:
         match = " OR ".join(f'"{t}"*' for t in keyword.query_terms(q))
         expected = dict(db.execute("SELECT entity_id, -rank FROM f WHERE f MATCH ?", [match]).fetchall())
         got = {r.entity_id: r.score for r in keyword.bm25(docs, [f"t_{c}" for c in COLUMNS], keyword.phrases(q, stemmed=True)).collect()}
         assert got == {k: pytest.approx(v, rel=1e-9) for k, v in expected.items()}, q
+        found = keyword.bm25_indexed(postings, stats, keyword.phrases(q, stemmed=True), ["entity_id"])
+        assert {r.entity_id: r.score for r in found.collect()} == {k: pytest.approx(v, rel=1e-9) for k, v in expected.items()}, q
 
 
 def test_trigram_equals_sqlite(spark):
@@ -83,8 +89,6 @@ def test_rrf_order_and_ties(spark):
 def test_text_functions(spark):
     texts = ["", "a", "a" * 40, "a" * 41, "a" * 35 + "\n" + "b" * 20, "a" * 32 + "\n" + "b" * 20, "Hello, World!", "Été à", "日本"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    from pyspark.sql import functions as F
-
     rows = df.orderBy("i").select(T.truncate_to_budget(F.col("t"), 10).alias("c"), T.was_truncated(F.col("t"), 10).alias("w"), T.estimate_tokens(F.col("t")).alias("n"), T.slugify(F.col("t")).alias("s")).collect()
     assert [len(r.c) for r in rows[2:6]] == [40, 56, 51, 56] and [r.w for r in rows[2:6]] == [False, True, True, True]
     assert [r.n for r in rows[:4]] == [0, 1, 10, 11] and [r.s for r in rows[6:]] == ["hello-world", "t-", ""]
@@ -164,8 +168,6 @@ def test_stream_feeds_the_index(spark, project, tmp_path):
 
 
 def test_path_rules(spark):
-    from pyspark.sql import functions as F
-
     paths = ["a/b.ts", ".hidden/x.py", "dist/x.py", "a/yarn.lock", "README", "a.b/c", "x.MD", "y.mdx"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = {r.p: (r.i, r.e, r.l, r.d) for r in df.select("p", files.is_ignored(F.col("p")).alias("i"), files.extension(F.col("p")).alias("e"), files.language_of(F.col("p")).alias("l"), files.is_doc(F.col("p")).alias("d")).collect()}
@@ -220,15 +222,48 @@ def test_snapshots_survive_versions_and_races(spark, tmp_path):
     last = max(f for f in os.listdir(f"{tmp_path}/index") if f.startswith("current-") and f.endswith(".json"))
     path, at = f"{tmp_path}/index/{last}", json.load(open(f"{tmp_path}/index/{last}"))
     os.remove(f"{tmp_path}/index/.{last}.crc")
-    # a snapshot of the schema before, without stems
-    folder = f"{tmp_path}/index/{at['snapshot']}/search_docs"
-    spark.read.parquet(folder).drop("t_entity_id", "t_entity_type", "t_name", "t_content").write.parquet(f"{tmp_path}/old")
-    os.rename(folder, f"{tmp_path}/new")
-    os.rename(f"{tmp_path}/old", folder)
-    json.dump(at | {"schema_version": 3}, open(path, "w"))
+    # a snapshot of a schema before: whole tables, without parts, postings and statistics
+    for name in ("files", "symbols", "sections", "search_docs", "vectors"):
+        old = e.store.read(name)
+        old.drop("length", "doc_comment").write.parquet(f"{tmp_path}/index/snapshot-old/{name}")
+    at["snapshot"] = "snapshot-old"
     assert e.search("runs").count() == 3 and e.index(docs(4))["indexed"] == 1 and e.search("runs").count() == 4
+    assert e.store.schema_version == 5 and e.index(docs(5))["indexed"] == 1 and e.search("runs").count() == 5
     last = max(f for f in os.listdir(f"{tmp_path}/index") if f.startswith("current-") and f.endswith(".json"))
     os.remove(f"{tmp_path}/index/.{last}.crc")
     json.dump(at | {"schema_version": 99}, open(f"{tmp_path}/index/{last}", "w"))
     with pytest.raises(ValueError, match="schema 99"):
         e.status()
+
+
+def test_a_change_rewrites_its_part_only(spark, tmp_path):
+    import os
+
+    e = Engine(spark, f"{tmp_path}/index", parts=16)
+    rows = lambda changed, n=40: spark.createDataFrame([(f"f{i}.py", f"def name{i}{'_new' if i == changed else ''}(): pass\n") for i in range(n)], "path string, content string")
+    e.index(rows(None))
+    first = e.store.version
+    assert e.index(rows(7))["indexed"] == 1
+    last = e.store.version
+    parts = {t: os.listdir(f"{tmp_path}/index/{last}/{t}") for t in os.listdir(f"{tmp_path}/index/{last}")}
+    assert all(len([p for p in of if p.startswith("part=")]) <= 1 for of in parts.values()) and any(p.startswith("part=") for p in parts["postings"])
+    assert e.store.read("symbols").count() == 40 and e.store.read("postings").select("entity_id").distinct().count() == 40
+    assert e.search("new").first().id == "f7.py::name7_new" and e.status().first().total_symbols == 40
+    # the statistics are those of one whole run
+    other = Engine(spark, f"{tmp_path}/other", parts=3)
+    other.index(rows(7))
+    rank = lambda x: [(r.id, r.score) for r in x.search("name1").collect()]
+    total = lambda x: x.store.read("stats").agg(F.sum("docs"), F.sum("words")).first()
+    assert rank(e) == rank(other) and total(e) == total(other)
+    assert e.index(rows(7, 39), prune=True)["pruned"] == 1 and e.store.read("postings").where("entity_id LIKE 'f39.%'").count() == 0
+    assert e.store.vacuum() == 0
+    # two pointers are kept; what only older ones named goes
+    assert e.store.vacuum(older_than_seconds=-60) > 0 and e.store.read("symbols").count() == 39 and first in os.listdir(f"{tmp_path}/index")
+
+
+def test_a_term_search_is_pushed_to_the_scan(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path}/index")
+    e.index(spark.createDataFrame([("a.md", "# Running\n")], "path string, content string"))
+    found = keyword.bm25_indexed(e.store.read("postings"), e.store.read("stats"), [["run"]], ["entity_id"])
+    plan = found._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,run)" in plan and "Python" not in plan and "ArrowEval" not in plan
