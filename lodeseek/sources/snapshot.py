@@ -11,6 +11,7 @@ import json
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,8 +111,9 @@ class SnapshotStore:
         """
         at, before = f"snapshot-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", self._pointer()
         gone = None if changed is None else {str(p) for p in changed}
-        places = {}
-        for name, df in tables.items():
+
+        def save(name: str) -> dict[str, str]:
+            df = tables[name]
             if "part" not in df.columns:
                 df = df.withColumn("part", part_of(F.col("path" if name == "files" else "file_path"), n_parts))
             df = df.select("part", *columns(name)).hint("rebalance", "part")
@@ -120,7 +122,10 @@ class SnapshotStore:
             df.write.partitionBy("part").parquet(f"{self.folder}/{at}/{name}")
             old = {} if gone is None or not before else before["places"][name]
             new = [n[len("part=") :] for n in self._names(f"{self.folder}/{at}/{name}") if n.startswith("part=")]
-            places[name] = {p: s for p, s in old.items() if p not in gone} | dict.fromkeys(new, at)
+            return {p: s for p, s in old.items() if p not in gone} | dict.fromkeys(new, at)
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # jobs of their own: small tables don't wait for large ones
+            places = dict(zip(tables, pool.map(save, tables), strict=True))
         fs, tmp = self._fs(f"{self.folder}/.{at}.json")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps({"snapshot": at, "schema_version": SCHEMA_VERSION, "parts": n_parts, "places": places}).encode()))
