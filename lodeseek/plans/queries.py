@@ -14,6 +14,7 @@ from ..functions.embedding import HashingProvider
 from ..functions.stemming import stemmed_tokens
 from ..operators import fusion, keyword, quantiser, store, structure, vectors
 from ..sources import code, files, markdown
+from . import quantiser_sql
 from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,7 +105,7 @@ def quant_storage_stats(spark, d):
     return quantiser.storage_stats(quantiser.compress(table(spark, d, "embeddings")))
 
 
-@query()
+@query(quantiser_sql.ROUNDTRIP)
 def quant_roundtrip(spark, d):
     e = table(spark, d, "embeddings")
     back = quantiser.decompress(quantiser.compress(e)).withColumnRenamed("embedding", "decoded")
@@ -113,25 +114,25 @@ def quant_roundtrip(spark, d):
     return both.select("vec_id", F.round(cos, 6).alias("cosine"))
 
 
-@query()
+@query(quantiser_sql.TOP_K)
 def quant_topk(spark, d):
     e = table(spark, d, "embeddings")
     scored = quantiser.score_compressed(quantiser.compress(e), vectors.vector_of(e, 0), correction=False)
     return vectors.top_k(scored.select("vec_id", F.round("score", 6).alias("score")), 10)
 
 
-@query()
+@query(quantiser_sql.CORRECTED)
 def quant_topk_corrected(spark, d):
     e = table(spark, d, "embeddings")
     return vectors.top_k(quantiser.score_compressed(quantiser.compress(e), vectors.vector_of(e, 0)).select("vec_id", F.round("score", 6).alias("score")), 10)
 
 
-@query()
+@query(quantiser_sql.BITS)
 def qjl_bits(spark, d):
     return quantiser.compress(table(spark, d, "embeddings")).select("vec_id", F.hex("pq_angles").alias("angles"), F.hex("qjl_bits").alias("bits"), F.round("final_radius", 6).alias("radius"))
 
 
-@query()
+@query(quantiser_sql.BATCH_TOP_K)
 def quant_batch_topk(spark, d):
     """The compressed search for every query row: what is stored is decoded and met by blocks of queries."""
     e = table(spark, d, "embeddings")
@@ -139,7 +140,7 @@ def quant_batch_topk(spark, d):
     return vectors.batch_top_k(queries, quantiser.decompress(quantiser.compress(e)), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(quantiser_sql.RECALL)
 def quant_recall(spark, d):
     """Share of the exact ten nearest that the compressed search finds, per query row."""
     exact, found = vec_batch_topk(spark, d).select("query_id", "vec_id"), quant_batch_topk(spark, d).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
