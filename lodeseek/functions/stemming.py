@@ -58,7 +58,7 @@ def stem(word: str) -> str:
         word = m[1]
         if word.endswith(("at", "bl", "iz")):
             word += "e"
-        elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
+        elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "aeioulsz":
             word = word[:-1]
         elif _measure(word) == 1 and _short_end(word):
             word += "e"

@@ -14,7 +14,7 @@ from ..functions.embedding import HashingProvider
 from ..functions.stemming import stemmed_tokens
 from ..operators import fusion, keyword, quantiser, store, structure, vectors
 from ..sources import code, files, markdown
-from . import quantiser_sql
+from . import quantiser_sql, stemming_sql
 from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,7 +278,7 @@ def bm25_phrase(spark, d):
     return _bm25(spark, d, [PHRASE.split()], True)
 
 
-@query()
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql([['thing'], ['run']], True, stemming_sql.STEMMED)})")
 def bm25_porter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", stemmed_tokens("text").alias("t"))
     return keyword.bm25(docs, ["t"], keyword.phrases("things running", stemmed=True)).select("doc_id", F.round("score", 6).alias("score"))

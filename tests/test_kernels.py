@@ -119,3 +119,26 @@ def test_queries_and_folder():
     assert keyword.query_terms("getUserName") == ["get", "User", "Name"] and keyword.query_terms("parseXMLDoc open db") == ["parse", "XMLDoc", "open", "db"]
     assert keyword.phrases("auth.ts ?") == [["auth", "ts"]] and stemming.tokens("Naïve café snake_case getUser") == ["naiv", "cafe", "snake", "case", "getus"]
     assert warehouse_of("/a/proj", "/w").startswith("/w/proj-") and len(warehouse_of("/a/proj", "/w")) == len("/w/proj-") + 16
+
+
+def test_stems_equal_sqlite_and_sql():
+    import sqlite3
+
+    import duckdb
+
+    from lodeseek.functions.stemming import stem
+    from lodeseek.plans.stemming_sql import stems
+
+    bases = "relat condition ration valenc conform radic vietnam predic operat decis hop fil fall hiss tann plast sing agre y by syzyg toy controll happ sk rat effect adjust electr probat".split()
+    ends = "e s es ed eed ing y ies ational tional ization fulness ness ement ment ent ion sion tion ll ance able icate ative al ously iviti biliti ical er izer ism ize n ee ying".split()
+    words = sorted({b + x + z for b in bases for x in ["", *ends] for z in ("", "s", "ed", "ing")})
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(w, tokenize='porter unicode61')")
+    db.executemany("INSERT INTO f(rowid, w) VALUES (?, ?)", list(enumerate(words)))
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, instance)")
+    want = {words[i]: t for t, i in db.execute("SELECT term, doc FROM v")}
+    assert {w: stem(w) for w in words} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v AS SELECT unnest(?) AS word", [words])
+    got = dict(con.execute(stems("SELECT word FROM v", "word")).fetchall())
+    assert {w: got.get(w, w) for w in words} == want
