@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.durable import shared_dir
+from ..functions.durable import cut, shared_dir
 from ..functions.embedding import HashingProvider
 from ..functions.stemming import stemmed_tokens
 from ..operators import fusion, keyword, quantiser, store, structure, vectors
@@ -278,6 +278,16 @@ def bm25_phrase(spark, d):
     return _bm25(spark, d, [PHRASE.split()], True)
 
 
+@query(_rounded(_bm25_sql([["tion"], ["de", "la"]], True)))
+def bm25_indexed(spark, d):
+    """The same search over a stored index, sorted by term: the scan reads the row groups of the query's words only."""
+    docs = _tokenised(spark, d).withColumn("length", F.size("t"))
+    postings = keyword.occurrences(docs, ["t"], ["doc_id", "lang"]).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    totals = docs.agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
+    hits = keyword.bm25_indexed(cut(postings, "postings"), totals, [["tion"], PHRASE.split()], ["doc_id", "lang"])
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql([['thing'], ['run']], True, stemming_sql.STEMMED)})")
 def bm25_porter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", stemmed_tokens("text").alias("t"))
